@@ -20,6 +20,12 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import digest, find_secrets
+
+    return digest(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -32,11 +38,19 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(encode_pieces(_table(spark, sf_dir, "documents")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, find_pii
+
+    return digest(find_pii(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_training_order": op1_training_order,
+        "op2_secret_scan": op2_secret_scan,
         "op3_token_counts": op3_token_counts,
         "op7_piece_codec": op7_piece_codec,
+        "op8_pii": op8_pii,
     }
 
 
