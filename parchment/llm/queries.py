@@ -32,6 +32,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import encode_pieces, with_digests
 
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_training_order": op1_training_order,
         "op2_secret_scan": op2_secret_scan,
         "op3_token_counts": op3_token_counts,
+        "op4_near_duplicates": op4_near_duplicates,
         "op7_piece_codec": op7_piece_codec,
         "op8_pii": op8_pii,
     }
