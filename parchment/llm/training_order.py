@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, Memo, Table, by_rows, fresh_path, id_and_text, tokenizer_path
-from .token_count import VOCABULARY, cut, merger
+from .common import ROWS_AT_ONCE, Memo, by_rows, fresh_path, id_and_text, tokenizer_path
+from .token_count import _TWO_SPACES, VOCABULARY, merger
 
 HEAD = "<qii"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -88,7 +88,14 @@ class Feistel:
 
 
 class Encoder:
-    """Ids of texts; a table of distinct words holds their ids as bytes, so that a document is one join."""
+    """Ids of many texts at once.
+
+    The words of a batch, each with the space before it, are looked up by 64-bit hash in a table that numpy reads for
+    all of them together; only words that aren't there are encoded, as one text. Texts whose white space isn't single
+    take the plain way. Table and pool have a fixed size.
+    """
+
+    SLOTS, POOL, LONGEST = 1 << 21, 6_000_000, 100
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -98,26 +105,103 @@ class Encoder:
         self.dtype = np.uint16 if max(ranks.values()) < 65_536 else np.uint32
         self.space = np.zeros(max(ranks.values()) + 1, bool)
         self.space[[i for b, i in ranks.items() if b[:1] == b" "]] = True
-        self.one = lambda s: np.array(self.enc.encode_ordinary(s), self.dtype).tobytes()
-        self.first, self.table = Memo(self.one, 20_000), Table(self.words)
-
-    def words(self, words: list[str]) -> list[bytes]:
+        self.one = lambda s: np.array(self.enc.encode_ordinary(s), self.dtype)
+        self.first = Memo(self.one, 20_000)
+        self.multiplier = 0x9E3779B97F4A7C15
+        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.starts, self.sizes = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        self.pool, self.used = np.empty(self.POOL, self.dtype), 0
+
+    def hashes(self, buffer: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.powers) <= len(buffer):
+            n = 2 * len(buffer) + 1
+            self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, self.multiplier, np.uint64)]))
+            self.inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(self.multiplier, -1, 1 << 64), np.uint64)]))
+        sums = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum(buffer * self.powers[: len(buffer)], out=sums[1:])
+        x = (sums[ends] - sums[at]) * self.inverses[at] + (ends - at).astype(np.uint64)
+        return Feistel._mix(x, np.uint64(0x243F6A8885A308D3)) | np.uint64(1)
+
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word after a space. Words are encoded as one text, whose tokens that begin with a space are where words begin."""
-        plain = [w for w in words if " " not in w and not w[-1:].isspace() and not w[:1].isspace() and w]
-        done = {}
-        if plain:
-            ids = np.array(self.enc.encode_ordinary(" " + " ".join(plain)), self.dtype)
-            at = np.flatnonzero(self.space[ids])
-            if len(at) == len(plain):
-                raw, size = ids.tobytes(), ids.itemsize
-                ends = [*at.tolist(), len(ids)]
-                done = {w: raw[a * size : b * size] for w, a, b in zip(plain, ends, ends[1:])}
-        return [done[w] if w in done else self.one(" " + w) for w in words]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        cuts = [cut(t) if t else [] for t in texts]
-        table = self.table.of({w for words in cuts for w in words[1:]})
-        return [b"".join([self.first[words[0]], *[table[w] for w in words[1:]]]) if words else b"" for words in cuts]
+        ids = self.one(" " + " ".join(words))
+        at = np.flatnonzero(self.space[ids])
+        return np.split(ids, at[1:]) if len(at) == len(words) else [self.one(" " + w) for w in words]
+
+    def look_up(self, buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of the buffer: where its ids begin in a pool, how many they are, and that pool."""
+        raw = np.frombuffer(buffer, np.uint8)
+        at = np.flatnonzero(raw == 32)
+        ends = np.append(at[1:], len(raw))
+        keys = self.hashes(raw, at, ends)
+        slots = (keys >> np.uint64(64 - 21)).astype(np.int64)
+        starts, sizes = self.starts[slots], self.sizes[slots]
+        misses = np.flatnonzero(self.keys[slots] != keys)
+        pool = self.pool
+        if len(misses):
+            _, one_of, which = np.unique(keys[misses], return_index=True, return_inverse=True)
+            new = misses[one_of]
+            ids = self.encode_words([buffer[a + 1 : b].decode() for a, b in zip(at[new].tolist(), ends[new].tolist())])
+            lengths = np.array([len(i) for i in ids], np.int32)
+            flat = np.concatenate(ids)
+            if self.used + len(flat) > self.POOL:
+                hits = np.flatnonzero(self.keys[slots] == keys)
+                held = self.gather(pool, starts[hits], sizes[hits])
+                starts[hits] = np.cumsum(sizes[hits]) - sizes[hits]
+                self.clear()
+                base, pool = len(held), np.concatenate([held, flat])
+            else:
+                base = self.used
+                pool[base : base + len(flat)] = flat
+                self.used += len(flat)
+                keep = ends[new] - at[new] <= self.LONGEST
+                self.keys[slots[new[keep]]] = keys[new[keep]]
+                places = base + np.cumsum(lengths) - lengths
+                self.starts[slots[new[keep]]], self.sizes[slots[new[keep]]] = places[keep], lengths[keep]
+            places = base + np.cumsum(lengths) - lengths
+            starts[misses], sizes[misses] = places[which], lengths[which]
+        return starts, sizes, pool
+
+    @staticmethod
+    def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        if not len(sizes):
+            return pool[:0]
+        before = np.cumsum(sizes) - sizes
+        return pool[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+    def _batch(self, texts: list[str], ids_too: bool) -> list:
+        out: list = [None] * len(texts)
+        even, firsts, rests = [], [], []
+        for i, t in enumerate(texts):
+            if not t or t[0] == " " or t[-1] == " " or _TWO_SPACES.search(t):
+                out[i] = self.one(t) if ids_too else len(self.enc.encode_ordinary(t))
+                continue
+            first, space, rest = t.partition(" ")
+            even.append(i)
+            firsts.append(self.first[first])
+            rests.append((space + rest).encode())
+        if not even:
+            return out
+        starts, sizes, pool = self.look_up(b"".join(rests)) if any(rests) else (np.empty(0, np.int32), np.empty(0, np.int32), self.pool)
+        words = np.cumsum([0, *(r.count(b" ") for r in rests)])
+        tokens = np.concatenate([[0], np.cumsum(sizes)])[words]
+        if not ids_too:
+            for i, f, n in zip(even, firsts, np.diff(tokens).tolist()):
+                out[i] = len(f) + n
+            return out
+        flat = self.gather(pool, starts, sizes)
+        for i, f, a, b in zip(even, firsts, tokens.tolist(), tokens[1:].tolist()):
+            out[i] = np.concatenate([f, flat[a:b]])
+        return out
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return self._batch(texts, True)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return self._batch(texts, False)
 
 
 def _encoder(path: str) -> Encoder:
@@ -154,9 +238,9 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns)
                 seen = True
-                for i, t, b in zip(ids, texts, encoder.batch(texts)):
-                    n += -(-len(b) // (length * np.dtype(encoder.dtype).itemsize))
-                    crc = zlib.crc32(f"{i}:{len(t)}:{len(b)}".encode(), crc)
+                for i, t, tokens in zip(ids, texts, encoder.counts(texts)):
+                    n += -(-tokens // length)
+                    crc = zlib.crc32(f"{i}:{len(t)}:{tokens}".encode(), crc)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([crc])], schema=count_schema)
 
@@ -179,8 +263,9 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         def rows_of(columns):
             nonlocal at_number, crc
             heads, bodies = [], []
-            for i, t, b in zip(*columns, encoder.batch(columns[1])):
-                crc = zlib.crc32(f"{i}:{len(t)}:{len(b)}".encode(), crc)
+            for i, t, tokens in zip(*columns, encoder.batch(columns[1])):
+                crc = zlib.crc32(f"{i}:{len(t)}:{len(tokens)}".encode(), crc)
+                b = tokens.tobytes()
                 for k, a in enumerate(range(0, len(b), size)):
                     body = b[a : a + size]
                     heads.append(struct.pack(HEAD, NO_ID if i is None else i, k, len(body) // width))
