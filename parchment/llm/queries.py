@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,25 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+def held_out(id_col) -> Column:
+    """Rows that no label is learned from: crc32 of the id as text leaves 2 by 4."""
+    return F.crc32(id_col.cast("string").cast("binary")) % 4 == 2
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = train(docs, labels.where(~held_out(F.col("doc_id"))))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import fingerprint_edits
+
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import encode_pieces, with_digests
 
@@ -50,14 +69,31 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that occurs in it with at most 10 % edits."""
+    from .decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_wrapper import extract
+
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_training_order": op1_training_order,
         "op2_secret_scan": op2_secret_scan,
         "op3_token_counts": op3_token_counts,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_quality": op5_quality,
+        "op6_order_minhash": op6_order_minhash,
         "op7_piece_codec": op7_piece_codec,
         "op8_pii": op8_pii,
+        "op9_decontamination": op9_decontamination,
+        "op10_main_text": op10_main_text,
     }
 
 
