@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, by_rows, id_and_text, stored
+from .common import by_rows, id_and_text, stored
 
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Members of a block; a task of step 3 holds two blocks, one of step 2 a block and its centre.
 BLOCK = 128
 #: So many candidates' ids, 8 bytes each, are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_tables: dict[str, Table] = {}
+_kept: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,19 +44,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes() -> Table:
-    if "words" not in _tables:
-        from xxhash import xxh3_64_intdigest
-
-        _tables["words"] = Table(lambda words: [xxh3_64_intdigest(w) for w in words], 400_000)
-    return _tables["words"]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse by 2**64, kept for a worker's lifetime."""
+    if len(_kept.get("powers", ())) < n:
+        for name, base in (("powers", int(_P1)), ("inverses", pow(int(_P1), -1, 1 << 64))):
+            _kept[name] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)]))
+    return _kept["powers"][:n], _kept["inverses"]
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
-    """64-bit hashes of each text's words: A-Z in lower case, cut at ASCII white space."""
-    cuts = [t.encode().lower().split() for t in texts]  # bytes: lower() and split() know ASCII only
-    table = _word_hashes().of({w for words in cuts for w in words}).__getitem__
-    return [np.fromiter(map(table, words), np.uint64, len(words)) for words in cuts]
+    """64-bit hashes of each text's words: A-Z in lower case, cut at ASCII white space.
+
+    A word's hash is that of its bytes as a polynomial by 2**64, read off prefix sums of the whole buffer, then mixed.
+    """
+    out: list[np.ndarray] = []
+    part, size = [], 0
+    for t in texts:
+        raw = t.encode().lower()  # of bytes: lower() knows ASCII only
+        part.append(raw)
+        size += len(raw) + 1
+        if size > 1_000_000:
+            out += _hashes_of(part)
+            part, size = [], 0
+    return out + _hashes_of(part)
+
+
+def _hashes_of(raws: list[bytes]) -> list[np.ndarray]:
+    if not raws:
+        return []
+    buffer = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
+    blank = (buffer == 32) | ((buffer >= 9) & (buffer <= 13))
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    at, ends = turns[::2], turns[1::2]
+    powers, inverses = _powers(len(buffer))
+    sums = np.zeros(len(buffer) + 1, np.uint64)
+    np.cumsum(buffer * powers, out=sums[1:])
+    h = mix((sums[ends] - sums[at]) * inverses[at] + (ends - at).astype(np.uint64) * _P2)
+    starts = np.cumsum([1, *(len(r) + 1 for r in raws)])
+    return np.split(h, np.searchsorted(at, starts[1:-1]))
 
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
