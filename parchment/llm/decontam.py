@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows, id_and_text
+from .common import ROWS_AT_ONCE, by_rows, id_and_text
 
 #: Characters of items in a block; a worker holds one automaton of these at a time.
 BLOCK_CHARS = 4_000_000
@@ -159,3 +159,21 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if out is None:
         out = spark.createDataFrame([], fields)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "distance", "end", "budget")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", budget: float = 0.1, least: int = 20) -> DataFrame:
+    """The rows of docs, with all columns, in whose text no item occurs. Rows pass a filter for each block of items: no shuffle, and ids need not be unique."""
+    import uuid
+
+    out, place = docs, docs.columns.index(text_col)
+    for block in item_blocks(items, item_id, item_text):
+        shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def run(batches, shared=shared, key=key):
+            matcher = _matcher(key, shared.value, budget, least)
+            for batch in batches:
+                clean = [not t or not matcher.find(t) for at in range(0, batch.num_rows, ROWS_AT_ONCE) for t in batch.column(place).slice(at, ROWS_AT_ONCE).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

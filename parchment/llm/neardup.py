@@ -268,3 +268,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = table.select("id", "n_shingles", "digest").join(by_rep, "digest", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all columns, that are the smallest id of their component; of rows of one id, one stays. Rows of null ids stay."""
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__kept"))
+    known = docs.where(docs[id_col].isNotNull())
+    known = known.join(kept, known[id_col].cast("long") == kept["__kept"], "left_semi").dropDuplicates([id_col])
+    return known.unionByName(docs.where(docs[id_col].isNull()))

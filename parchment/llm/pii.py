@@ -58,15 +58,16 @@ def mod_97(iban: Column) -> Column:
     return F.aggregate(turned, F.lit(0), lambda a, c: F.when(value(c) > 9, (a * 100 + value(c)) % 97).otherwise((a * 10 + value(c)) % 97)) == 1
 
 
-def _confirmed(spans: Column, kind: str) -> Column:
-    digits = lambda s: F.regexp_replace(s["match"], "[^0-9]", "")
-    tests = {
-        "ip": lambda s: s["match"].rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"),
-        "card": lambda s: F.length(digits(s)).between(14, 19) & luhn(digits(s)),
-        "phone": lambda s: F.length(digits(s)).between(10, 15),
-        "iban": lambda s: F.length(F.replace(s["match"], F.lit(" "))).between(15, 34) & mod_97(F.replace(s["match"], F.lit(" "))),
-    }
-    return F.filter(spans, tests[kind]) if kind in tests else spans
+def _confirmed(kind: str):
+    """Of a match of this kind, whether its checksum or size confirms it; None if nothing has to."""
+    digits = lambda m: F.regexp_replace(m, "[^0-9]", "")
+    bare = lambda m: F.replace(m, F.lit(" "))
+    return {
+        "ip": lambda m: m.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"),
+        "card": lambda m: (F.length(m) >= 14) & F.length(digits(m)).between(14, 19) & luhn(digits(m)),
+        "phone": lambda m: F.length(digits(m)).between(10, 15),
+        "iban": lambda m: F.length(bare(m)).between(15, 34) & mod_97(bare(m)),
+    }.get(kind)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -74,15 +75,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     hints = {
         "email": lambda t: t.contains("@"),
         "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
-        "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"),
+        "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
         "phone": lambda t: t.rlike(r"\+[0-9]"),
         "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"),
         "ssn": lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"),
     }
     df = docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("__text"))
     text = F.col("__text")
-    df = df.select("*", *[found(text, rx, kind, i, hints[kind](text)).alias(f"__{kind}") for i, (kind, rx) in enumerate(PATTERNS.items())])
-    df = df.select("__id", "__text", merged(*[_confirmed(F.col(f"__{kind}"), kind) for kind in PATTERNS]).alias("__spans"))
+    df = df.select("*", *[found(text, rx, kind, i, hints[kind](text), _confirmed(kind)).alias(f"__{kind}") for i, (kind, rx) in enumerate(PATTERNS.items())])
+    df = df.select("__id", "__text", merged(*[F.col(f"__{kind}") for kind in PATTERNS]).alias("__spans"))
 
     def scored(s):
         around = F.concat(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows, id_and_text
+from .common import ROWS_AT_ONCE, by_rows, id_and_text
 
 #: Labelled rows to learn from, at most: memory of the driver is about 0.5 kB a row.
 SAMPLE = 20_000
@@ -207,3 +207,17 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
         return by_rows(batches, of_rows, schema)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def good(docs: DataFrame, model: Trees, text_col: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows of docs, with all columns, whose score is at least `keep`; one pass, no shuffle."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                texts = [t or "" for t in part.column(place).to_pylist()]
+                yield part.filter(pa.array(shared.value.score(statistics(texts)) >= keep))
+
+    return docs.mapInArrow(run, docs.schema)

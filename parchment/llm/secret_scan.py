@@ -136,19 +136,44 @@ def discoveries(tested: Column, alpha: float, fdr: float) -> Column:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.01, fdr: float = 0.001) -> DataFrame:
     """(id, text, spans): spans sorted by start and kind, each with its match."""
-    df = docs.select(docs[id_col].alias("__id"), F.coalesce(docs[text_col], F.lit("")).alias("__text"))
+    found_rows = _with_spans(docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text")), F.col("__text"), alpha, fdr)
+    return found_rows.select(F.col("__row.__id").alias(id_col), F.col("__text").alias(text_col), F.col("__spans").alias("spans"))
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", alpha: float = 0.01, fdr: float = 0.001) -> DataFrame:
+    """docs with all columns; each secret in the text is replaced by [SECRET]. Where that changes a text, size_col, if there
+    is one of this name, gets its new length in code points; other rows, also those of null texts, stay as they are."""
+    found_rows = _with_spans(docs, docs[text_col], alpha, fdr)
+    changed = F.size("__spans") > 0
+    new = {text_col: redacted(F.col("__text"), F.col("__spans"))}
+    rows = found_rows.select("__row", changed.alias("__changed"), F.when(changed, new[text_col]).otherwise(F.col("__row")[text_col]).alias("__new"))
+
+    def column(name: str, kind) -> Column:
+        old = F.col("__row").getField(name)
+        if name == text_col:
+            return F.col("__new").alias(name)
+        if name == size_col:
+            return F.when(F.col("__changed"), F.length("__new").cast(kind)).otherwise(old).alias(name)
+        return old.alias(name)
+
+    return rows.select(*[column(f.name, f.dataType) for f in docs.schema])
+
+
+def _with_spans(docs: DataFrame, text: Column, alpha: float, fdr: float) -> DataFrame:
+    """(__row, __text, __spans): the row as a struct, so that no column name clashes; its text, not null; its spans."""
+    df = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.coalesce(text, F.lit("")).alias("__text"))
     text = F.col("__text")
     hints = {"assign": text.rlike(f"{_KEYWORD}[\"']?\\x20*+[:=]"), "access": text.contains("AKIA"), "hex": text.rlike("[0-9a-f]{24}")}
-    df = df.select("*", *[found(text, rx, kind, i, hints[kind]).alias(f"__{kind}") for i, (kind, rx) in enumerate(PATTERNS.items())], found(text, RUN, "random", len(PATTERNS), text.rlike("[A-Za-z0-9+/_-]{20}")).alias("__runs"))
-    value = lambda s: F.regexp_extract(s["match"], VALUE_OF, 1)
-    df = df.select("__id", "__text", "__runs", merged(F.filter("__assign", lambda s: F.length(value(s)) >= 6), F.col("__access"), F.col("__hex")).alias("__base"))
+    keep = {"assign": lambda m: F.length(F.regexp_extract(m, VALUE_OF, 1)) >= 6}
+    df = df.select("*", *[found(text, rx, kind, i, hints[kind], keep.get(kind)).alias(f"__{kind}") for i, (kind, rx) in enumerate(PATTERNS.items())], found(text, RUN, "random", len(PATTERNS), text.rlike("[A-Za-z0-9+/_-]{20}")).alias("__runs"))
+    df = df.select("__row", "__text", "__runs", merged(*[F.col(f"__{kind}") for kind in PATTERNS]).alias("__base"))
     free = F.filter("__runs", lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    df = df.select("__id", "__text", "__base", free.alias("__free"))
+    df = df.select("__row", "__text", "__base", free.alias("__free"))
     tested = F.transform("__free", lambda r: F.struct(r.alias("span"), battery(r["match"]).alias("test")))
-    df = df.select("__id", "__text", "__base", F.when(F.size("__free") > 0, tested).otherwise(F.slice(tested, 1, 0)).alias("__tested"))
+    df = df.select("__row", "__text", "__base", F.when(F.size("__free") > 0, tested).otherwise(F.slice(tested, 1, 0)).alias("__tested"))
     added = F.transform(discoveries(F.col("__tested"), alpha, fdr), lambda t: t["span"])
     spans = F.when(F.size("__tested") > 0, merged(F.col("__base"), added)).otherwise(F.col("__base"))
-    return df.select(F.col("__id").alias(id_col), F.col("__text").alias(text_col), spans.alias("spans"))
+    return df.select("__row", "__text", spans.alias("__spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -7,6 +7,7 @@ recurses nor goes back over very long runs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,8 +21,9 @@ def no_spans() -> Column:
     return F.array().cast(SPAN)
 
 
-def found(text: Column, pattern: str, kind: str, rank: int, only_if: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches. only_if: a cheap condition without which there is none."""
+def found(text: Column, pattern: str, kind: str, rank: int, only_if: Column | None = None, keep: Callable[[Column], Column] | None = None) -> Column:
+    """All leftmost non-overlapping matches. only_if: a cheap condition without which there is none; keep: of a match,
+    whether it counts. A match that doesn't is passed over without a copy of the spans so far, so long texts with many cost little."""
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     both = F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p"))
 
@@ -29,7 +31,8 @@ def found(text: Column, pattern: str, kind: str, rank: int, only_if: Column | No
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
         one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+        longer = F.concat(acc["spans"], F.array(one))
+        return F.struct(end.alias("at"), (longer if keep is None else F.when(keep(x["m"]), longer).otherwise(acc["spans"])).alias("spans"))
 
     start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
     out = F.aggregate(both, start, add, lambda acc: acc["spans"])
