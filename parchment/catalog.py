@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from parchment.plans.oracles import ORACLES
+from parchment.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
