@@ -87,7 +87,7 @@ class Store:
 
     def _pointer(self):
         jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path + "/_current")
+        at = jvm.org.apache.hadoop.fs.Path(self.path + "/current.txt")
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
     def read(self) -> DataFrame:
@@ -101,12 +101,15 @@ class Store:
         name = f"snapshot-{uuid.uuid4().hex}"
         chunks.select(*[c.split(" ")[0] for c in FIELDS.split(", ")]).write.parquet(f"{self.path}/{name}")
         at, fs, jvm = self._pointer()
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_next-{name}")
+        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/next-{name}.txt")
         out = fs.create(new, True)
         out.write(bytearray(name.encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(new, at)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(fs.makeQualified(new), fs.makeQualified(at), how)  # in one step: there is a pointer at any time
 
     def add(self, chunks: DataFrame) -> None:
         """Append (source, ord, text, tags, doc_hash) without vectors; sources that are there already are replaced."""
