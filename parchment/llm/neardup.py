@@ -10,8 +10,10 @@ with probability 3e-6, before the links it has through others.
 Only what is linked counts, so no group is expanded into all pairs:
 1. documents with equal sets are one class, found by a digest; only its smallest id goes on;
 2. each class is compared with one centre of each band it shares, and linked if the full sets are similar enough;
-3. components so far; a bucket whose members are still in several components is cut into blocks by hash, and each pair of
-   blocks is compared exactly, skipping what is linked by then. Tasks hold two blocks, however large the bucket.
+3. components so far; in a bucket whose members are still in several components, those outside its largest component are
+   compared exactly with all of it, block by block, skipping what is linked by then. The largest component is not compared
+   with itself, so rows grow with the bucket times the blocks of the few others. Tasks hold two blocks, however large the
+   bucket.
 Steps 2 and 3 return verified links only. Components come from alternating large-star and small-star steps over stored
 tables.
 
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import by_rows, id_and_text, stored
 
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Members of a block; a task of step 3 holds two blocks, one of step 2 a block and its centre.
+#: Members of a block of step 2, which are compared with one centre.
 BLOCK = 128
+#: Shingles of a block of step 3, whose tasks hold two blocks: 10 MB each with their texts.
+BLOCK_SHINGLES = 400_000
 #: So many candidates' ids, 8 bytes each, are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _kept: dict[str, np.ndarray] = {}
@@ -161,13 +165,6 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, words: int, coordi
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
 def _verified(members: DataFrame, percent: int, words: int) -> DataFrame:
     """Verified links within bounded groups. members: (group, side, id, label, __text); side 0 against side 1 and, where
     the group is one block (no side 1), side 0 against itself. Equal labels are already linked and are skipped."""
@@ -175,30 +172,33 @@ def _verified(members: DataFrame, percent: int, words: int) -> DataFrame:
     def compare(key, frame):
         import pandas as pd
 
+        frame = frame.sort_values(["side", "id"])
         sets = shingle_sets(frame["__text"].tolist(), words)
-        ids, sides, labels = frame["id"].tolist(), frame["side"].tolist(), frame["label"].tolist()
-        first = {}
-        parent = [first.setdefault(label, i) for i, label in enumerate(labels)]
-        lefts = [i for i, s in enumerate(sides) if s == 0]
-        rights = [i for i, s in enumerate(sides) if s == 1]
+        ids, sides, label = frame["id"].to_numpy(), frame["side"].to_numpy(), frame["label"].to_numpy().copy()
+        n, cut = len(sets), int(np.count_nonzero(sides == 0))
+        # shingles as small numbers, so that a table of marks gives the size of an intersection
+        numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        sizes = np.array([*map(len, sets)])
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        mark = np.zeros(int(numbers.max()) + 1, bool)
         links = []
-        # the shingles of all sets as numbers, so that one product gives many intersections
-        numbers = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, int)
-        ends = np.cumsum([0, *map(len, sets)])
-        sizes = np.diff(ends)
-        width = int(numbers.max()) + 1 if len(numbers) else 0
-        mark = np.zeros(width, bool)
-        for i in lefts:
-            others = rights or [j for j in lefts if j > i]
-            others = [j for j in others if _find(parent, i) != _find(parent, j) and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j])]
-            if not others:
+        for i in range(cut):
+            low = cut if cut < n else i + 1
+            open_ = (label[low:] != label[i]) & (100 * np.minimum(sizes[low:], sizes[i]) >= percent * np.maximum(sizes[low:], sizes[i]))
+            others = np.flatnonzero(open_) + low
+            if not len(others):
                 continue
-            mark[:] = False
-            mark[numbers[ends[i] : ends[i + 1]]] = True
-            for j in others:
-                both = int(np.count_nonzero(mark[numbers[ends[j] : ends[j + 1]]]))
-                if 100 * both >= percent * (int(sizes[i]) + int(sizes[j]) - both) and _find(parent, i) != _find(parent, j):
-                    parent[_find(parent, j)] = _find(parent, i)
+            own = numbers[begins[i] : ends[i]]
+            mark[own] = True
+            if len(others) < 32:
+                both = np.array([np.count_nonzero(mark[numbers[begins[j] : ends[j]]]) for j in others])
+            else:
+                both = np.add.reduceat(mark[numbers[begins[low] :]].astype(np.int64), begins[low:] - begins[low])[others - low]
+            mark[own] = False
+            for j in others[100 * both >= percent * (sizes[i] + sizes[others] - both)]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
                     links.append((ids[i], ids[j]))
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = table.join(classes.select(F.col("rep").alias("id"), F.col("digest").alias("own")), "id", "left_semi").where("digest is not null").dropDuplicates(["id"])
 
     # buckets of at least two classes; the centre is the member of least hash, which is the same one in most of its bands
-    exploded = reps.select("id", F.explode("bands").alias("band"))
+    exploded = reps.select("id", "n_shingles", F.explode("bands").alias("band"))
     rank = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
     buckets = exploded.groupBy("band").agg(F.min(rank).alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", F.col("centre.id").alias("centre"), "n")
     members = stored(exploded.join(buckets, "band"), "members")
@@ -254,11 +254,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = stored(components(links), "labels")
 
     # buckets that are still in several components, each distinct set of members once
-    labelled = members.join(labels, "id", "left").select("band", "id", "n", "centre", F.coalesce("label", "id").alias("label"))
+    labelled = members.join(labels, "id", "left").select("band", "id", "n_shingles", F.coalesce("label", "id").alias("label"))
     several = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n"))
-    several = several.where("low <> high and n > 2").groupBy("who", "n").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = labelled.drop("n", "centre").join(several, "band").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    paired = rest.select("band", "id", "label", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"))
+    several = several.where("low <> high and n > 2").groupBy("who", "n").agg(F.min("band").alias("band")).select("band")
+    rest = stored(labelled.join(several, "band"), "rest")
+    weights = rest.groupBy("band", "label").agg(F.sum("n_shingles").alias("w"))
+    blocks_of = lambda w: F.ceil(w / BLOCK_SHINGLES).cast("int")
+    weights = weights.groupBy("band").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("w"))
+    weights = weights.select("band", F.col("top.label").alias("top"), blocks_of(F.col("w") - F.col("top.w")).alias("few"), blocks_of(F.col("top.w")).alias("many"))
+    rest = rest.join(weights, "band")
+    is_top = F.col("label") == F.col("top")
+    block = F.when(is_top, F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int")
+    paired = rest.select("band", "id", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("few") + F.when(is_top, 0).otherwise(F.col("many")) - 1)).alias("with"))
     paired = paired.select(F.struct("band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")).alias("group"), F.when(F.col("block") <= F.col("with"), 0).otherwise(1).alias("side"), "id", "label")
     more = stored(_verified(paired.join(texts, "id"), percent, words), "links")
     if not more.isEmpty():
