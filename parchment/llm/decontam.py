@@ -2,7 +2,9 @@
 
 An item of m characters may occur with at most k = floor(m * budget) edits. Cut into k + 1 pieces, at least one piece of
 every such occurrence is untouched, so the exact hits of all pieces (one Aho-Corasick pass over a text) are the only
-places to look at, and Myers' bit-parallel distance decides them. Texts and items are compared in lower case with white
+places to look at, and Myers' bit-parallel distance decides them. Pieces are the leaves of a tree of halves: of a part with k
+edits, one half has at most its own share of k - 1. So a hit is first held against the two pieces above it, then four and so
+on, and only hits that every part up to the whole allows are compared as a whole: chance hits end after a few characters. Texts and items are compared in lower case with white
 space as one space. Items are read in blocks of bounded size, each an automaton of its own; blocks are broadcast.
 
 Defined results: null texts and items count as empty and match nothing; items shorter than `least` characters match
@@ -12,8 +14,8 @@ document is the one of least distance, then the earliest end; other columns are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,26 +25,36 @@ from .common import ROWS_AT_ONCE, by_rows, id_and_text
 
 #: Characters of items in a block; a worker holds one automaton of these at a time.
 BLOCK_CHARS = 4_000_000
-_SPACE = re.compile(r"\s+")
 _loaded: dict = {}
 
 
 def normal(text: str) -> str:
-    return _SPACE.sub(" ", text.lower()).strip()
+    return " ".join(text.lower().split())
 
 
-def pieces(m: int, k: int) -> list[tuple[int, int]]:
-    """(begin, end) of k + 1 pieces of m characters, as even as they can be."""
-    cuts = [i * m // (k + 1) for i in range(k + 2)]
-    return list(zip(cuts, cuts[1:]))
+def pieces(begin: int, end: int, k: int, above: tuple = ()) -> Iterator[tuple[int, int, tuple]]:
+    """(begin, end, parts above it from the smallest, each as (begin, end, edits)) of the k + 1 pieces of a part with k edits. The whole is left out."""
+    if not k:
+        yield begin, end, above[:-1]
+        return
+    first = (k - 1) // 2  # the halves' edits add up to k - 1
+    middle = begin + (end - begin) * (first + 1) // (k + 1)
+    yield from pieces(begin, middle, first, ((begin, end, k), *above))
+    yield from pieces(middle, end, k - 1 - first, ((begin, end, k), *above))
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """(least edit distance of the pattern to any substring of text, end of the first such substring); one big-integer step a character."""
-    m = len(pattern)
+@lru_cache(65_536)
+def _places(pattern: str) -> dict[str, int]:
     eq: dict[str, int] = {}
     for i, c in enumerate(pattern):
         eq[c] = eq.get(c, 0) | 1 << i
+    return eq
+
+
+def myers(pattern: str, text: str, enough: int = -1) -> tuple[int, int]:
+    """(least edit distance of the pattern to any substring of text, end of the first such substring); one integer step a
+    character. Stops at the first distance of at most `enough`."""
+    m, eq = len(pattern), _places(pattern)
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best, at = full, 0, m, m, 0
     for j, c in enumerate(text):
@@ -58,6 +70,8 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
         pv, mv = hn | (full & ~(d0 | hp)), hp & d0
         if score < best:
             best, at = score, j + 1
+            if best <= enough:
+                break
     return best, at
 
 
@@ -68,12 +82,12 @@ class Matcher:
         import ahocorasick
 
         self.items, self.automaton = [], ahocorasick.Automaton()
-        where: dict[str, list[tuple[int, int]]] = {}
+        where: dict[str, list[tuple[int, int, tuple]]] = {}
         for i, text in items:
             if len(text := normal(text)) >= least:
                 k = int(len(text) * budget)
-                for a, b in pieces(len(text), k):
-                    where.setdefault(text[a:b], []).append((len(self.items), a))
+                for a, b, above in pieces(0, len(text), k):
+                    where.setdefault(text[a:b], []).append((len(self.items), a, above))
                 self.items.append((i, text, k))
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -87,8 +101,10 @@ class Matcher:
         text = normal(text)
         starts: dict[int, set[int]] = {}
         for end, (n, places) in self.automaton.iter(text):
-            for item, offset in places:
-                starts.setdefault(item, set()).add(end + 1 - n - offset)
+            for item, offset, above in places:
+                start = end + 1 - n - offset
+                if start not in starts.get(item, ()) and self.allowed(self.items[item][1], text, start, above):
+                    starts.setdefault(item, set()).add(start)
         found = []
         for item, at in starts.items():
             i, pattern, k = self.items[item]
@@ -100,6 +116,11 @@ class Matcher:
                 found.append((i, best[0], best[1], k))
         return found
 
+    @staticmethod
+    def allowed(pattern: str, text: str, start: int, above: tuple) -> bool:
+        """Whether each part above a hit occurs where the hit puts it, with its share of edits."""
+        return all(myers(pattern[a:b], text[max(0, start + a - k) : max(0, start + b + k)], k)[0] <= k for a, b, k in above)
+
     @staticmethod
     def windows(starts: set[int], m: int, k: int, n: int) -> Iterator[tuple[int, int]]:
         """The stretches that occurrences near these starts lie in, joined where they overlap, so that each character is looked at once."""
