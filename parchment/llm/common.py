@@ -68,6 +68,29 @@ def by_rows(batches: Iterator[pa.RecordBatch], f: Callable[[list[list]], list],
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(out, schema)], schema=schema)
 
 
+_holder: list = ["", None]
+
+
+def worker_takes(owner: str, drop: Callable[[], object]) -> None:
+    """Called where an operator's task begins. A Python worker serves one operator after another; what the one before kept
+    for its own later tasks is dropped here, so a pipeline's stages don't add up in memory. drop() frees this owner's; it must be
+    a function of a module, as variables that a task's own functions name are copies."""
+    if _holder[0] == owner:
+        return
+    if _holder[1] is not None:
+        import ctypes
+        import gc
+
+        _holder[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library; its memory is only given back later
+            pass
+    _holder[:] = owner, drop
+
+
 class Memo(dict):
     """Results by key, for a worker's lifetime; emptied when full, so that its memory is bounded."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, by_rows, id_and_text
+from .common import ROWS_AT_ONCE, by_rows, id_and_text, worker_takes
 
 #: Characters of items in a block; a worker holds one automaton of these at a time.
 BLOCK_CHARS = 4_000_000
@@ -143,6 +143,11 @@ def _matcher(key: str, items, budget: float, least: int) -> Matcher:
     return _loaded["matcher"]
 
 
+def _forget() -> None:
+    _loaded.clear()
+    _places.cache_clear()
+
+
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of BLOCK_CHARS, read one after another, never all at once."""
     block, size = [], 0
@@ -167,6 +172,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches, shared=shared, key=key):
+            worker_takes("decontam", _forget)
             matcher = _matcher(key, shared.value, budget, least)
 
             def of_rows(columns):
@@ -191,6 +197,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "tex
         shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches, shared=shared, key=key):
+            worker_takes("decontam", _forget)
             matcher = _matcher(key, shared.value, budget, least)
             for batch in batches:
                 clean = [not t or not matcher.find(t) for at in range(0, batch.num_rows, ROWS_AT_ONCE) for t in batch.column(place).slice(at, ROWS_AT_ONCE).to_pylist()]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows, id_and_text, stored
+from .common import by_rows, id_and_text, stored, worker_takes
 
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Members of a block of step 2, which are compared with one centre.
@@ -145,11 +145,17 @@ def digest_of(s: np.ndarray) -> bytes:
     return blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _forget() -> None:
+    _kept.clear()
+
+
 def sketch_table(docs: DataFrame, id_col: str, text_col: str, words: int, coordinates: int, rows: int) -> DataFrame:
     """(id, n_shingles, digest, bands) of each row; digest and bands are null where the set is empty."""
     schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+        worker_takes("neardup", _forget)
+
         def of_rows(columns):
             sets = shingle_sets(columns[1], words)
             some = [i for i, s in enumerate(sets) if len(s)]
@@ -172,6 +178,7 @@ def _verified(members: DataFrame, percent: int, words: int) -> DataFrame:
     def compare(key, frame):
         import pandas as pd
 
+        worker_takes("neardup", _forget)
         frame = frame.sort_values(["side", "id"])
         sets = shingle_sets(frame["__text"].tolist(), words)
         ids, sides, label = frame["id"].to_numpy(), frame["side"].to_numpy(), frame["label"].to_numpy().copy()

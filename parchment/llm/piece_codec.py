@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, by_rows, id_and_text, tokenizer_path
+from .common import Table, by_rows, id_and_text, tokenizer_path, worker_takes
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -73,12 +73,17 @@ def _codec(path: str) -> Codec:
     return _loaded[path]
 
 
+def _forget() -> None:
+    _loaded.clear()
+
+
 def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """(id, ids array<int>, decoded string) for every row; one pass, no shuffle."""
     path = model or tokenizer_path(MODEL)
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches):
+        worker_takes("piece_codec", _forget)
         codec = _codec(path).batch
 
         def rows(columns):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, by_rows, id_and_text
+from .common import ROWS_AT_ONCE, by_rows, id_and_text, worker_takes
 
 #: Labelled rows to learn from, at most: memory of the driver is about 0.5 kB a row.
 SAMPLE = 20_000
@@ -200,6 +200,8 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
+        worker_takes("quality", int)
+
         def of_rows(columns):
             s = shared.value.score(statistics(columns[1]))
             return columns[0], s, (s >= keep).astype(np.int32)
@@ -214,6 +216,7 @@ def good(docs: DataFrame, model: Trees, text_col: str = "text", keep: float = KE
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
+        worker_takes("quality", int)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)

@@ -17,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, Table, by_rows, id_and_text, tokenizer_path
+from .common import Memo, Table, by_rows, id_and_text, tokenizer_path, worker_takes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The vocabulary's pre-tokenizer. Used on plain characters only; for others the library splits the chunk itself.
@@ -110,6 +110,10 @@ def _counter(path: str, whole: frozenset[str]) -> Counter:
     return _loaded[path]
 
 
+def _forget() -> None:
+    _loaded.clear()
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = 512) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row; one pass, no shuffle. Only the vocabulary's proven strings are broadcast."""
     path = tokenizer or tokenizer_path(VOCABULARY)
@@ -117,6 +121,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
+        worker_takes("token_count", _forget)
         count = _counter(path, whole.value).batch
 
         def rows(columns):

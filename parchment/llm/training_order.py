@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, Memo, by_rows, fresh_path, id_and_text, tokenizer_path
+from .common import ROWS_AT_ONCE, Memo, by_rows, fresh_path, id_and_text, tokenizer_path, worker_takes
 from .token_count import _TWO_SPACES, VOCABULARY, merger
 
 HEAD = "<qii"
@@ -210,6 +210,10 @@ def _encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def _forget() -> None:
+    _loaded.clear()
+
+
 @dataclass(frozen=True)
 class Shards:
     """Where the shards are, and what a reader has to know."""
@@ -233,6 +237,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     count_schema = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("crc", pa.int64())])
 
     def counted(batches):
+        worker_takes("training_order", _forget)
         encoder, n, crc, seen = _encoder(vocabulary), 0, 0, False
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -256,6 +261,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     schema = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("record", pa.binary())])
 
     def laid_out(batches):
+        worker_takes("training_order", _forget)
         encoder, part, crc = _encoder(vocabulary), TaskContext.get().partitionId(), 0
         at_number, expected = starts.value.get(part, (0, 0))
         size = length * width
