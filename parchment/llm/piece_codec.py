@@ -43,6 +43,8 @@ class Codec:
     def segmented(self, words: list[str]) -> list[tuple[bytes, str]]:
         """The ids of each word, as the bytes of their array, and the text that they decode to."""
         ids = self.sp.encode(words, num_threads=1)
+        if "" in words:  # the last space of a text is a marker alone; the library adds none to an empty text
+            ids[words.index("")] = [self.sp.piece_to_id(MARK)]
         return [(np.array(i, np.int32).tobytes(), w if t == w else t) for w, i, t in zip(words, ids, self.sp.decode(ids, num_threads=1))]
 
     def batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
