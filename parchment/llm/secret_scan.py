@@ -3,8 +3,9 @@
 DataFrame functions only. Kinds: assign (a keyword, a separator and a value), access (key ids), hex, and `random`: runs
 of 20 or more characters of an encoding's alphabet that no pattern covers and that look drawn at random.
 
-For each run the smallest fitting encoding is inferred (hex 16, upper alphanumeric 36, alphanumeric 62, base64 66 with
-its URL form). Three tests of uniform randomness follow: chi-squared over eight equal parts of the alphabet
+For each run the smallest fitting encoding is inferred (hex 16 in lower, upper or mixed case and in dashed groups, upper or
+lower alphanumeric 36, alphanumeric 62, base64 66 with its URL form). Dashes of groups and the case of mixed hex carry no
+digit, so they are taken out before the tests. Three tests of uniform randomness follow: chi-squared over eight equal parts of the alphabet
 (Wilson-Hilferty), the number of runs above and below the alphabet's middle (Wald-Wolfowitz), and lag-1 serial
 correlation; a run passes if three times its least p-value is at least `alpha`. Passing is easy for short strings, so
 the evidence that it isn't ordinary text counts by length: the likelihood ratio of the uniform alphabet against a
@@ -18,6 +19,7 @@ out; offsets are code points, end exclusive; pattern spans stay whatever the tes
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,25 @@ VALUE_OF = rf"""^{_KEYWORD}["']?\x20*+[:=]\x20*+["']?({_VALUE}++)$"""
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "hex_upper": "0123456789ABCDEF",
+    "hex_mixed": "0123456789abcdef",
+    "hex_dashed": "0123456789abcdef",
     "upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "lower": "0123456789abcdefghijklmnopqrstuvwxyz",
     "alnum": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_",
 }
+#: Encodings from the smallest: what a run of each looks like. Mixed and dashed hex, and lower, need a digit (and a letter), so
+#: that words, dates and numbers are none; groups between dashes have at least four characters.
+FITS = [
+    ("hex", r"^[0-9a-f]++$"),
+    ("hex_upper", r"^[0-9A-F]++$"),
+    ("hex_mixed", r"^(?=[^0-9]*+[0-9])[0-9A-Fa-f]++$"),
+    ("hex_dashed", r"^(?=[^0-9]*+[0-9])(?=[^A-Fa-f]*+[A-Fa-f])(?!.*-[^-]{0,3}(?:-|$))[0-9A-Fa-f]{4}[0-9A-Fa-f-]++$"),
+    ("upper", r"^[0-9A-Z]++$"),
+    ("lower", r"^(?=[^0-9]*+[0-9])[0-9a-z]++$"),
+    ("alnum", r"^[0-9A-Za-z]++$"),
+]
 #: Share of each letter in written English, in 1/1000 (published counts); 1.5 % each go to capitals, digits and signs.
 LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", [127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1]))
 PARTS = 8
@@ -64,8 +81,8 @@ def battery(run: Column) -> Column:
 
     One fold over the characters gathers all sums, so the cost is linear in the run's length.
     """
-    body = F.regexp_replace(run, "=+$", "")
-    encoding = F.when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[0-9A-Z]+$"), "upper").when(body.rlike("^[0-9A-Za-z]+$"), "alnum").otherwise("base64")
+    bare = F.regexp_replace(run, "=+$", "")
+    encoding = reduce(lambda other, fit: F.when(bare.rlike(fit[1]), fit[0]).otherwise(other), reversed(FITS), F.lit("base64"))
     surprise = F.create_map(*[F.lit(x) for pair in _surprise().items() for x in pair])
     alphabets = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
     parts = [f"c{j}" for j in range(PARTS)]
@@ -74,8 +91,10 @@ def battery(run: Column) -> Column:
     def let(value: Column, f) -> Column:
         return F.element_at(F.transform(F.array(value), f), 1)
 
-    def fold(alphabet: Column) -> Column:
+    def fold(e: Column) -> Column:
+        alphabet = alphabets[e]
         k = F.length(alphabet)
+        body = F.when(e.isin("hex_mixed", "hex_dashed"), F.lower(F.translate(bare, "-", ""))).otherwise(bare)
 
         def add(a, char):
             def with_code(x):
@@ -121,7 +140,7 @@ def battery(run: Column) -> Column:
         a, k = t["sums"], F.length(alphabets[t["encoding"]])
         return F.struct(t["encoding"].alias("encoding"), a["n"].cast("int").alias("n"), tests(a, k).alias("p"), (a["bits"] - a["n"] * F.log2(k)).alias("bits"))
 
-    return let(let(encoding, lambda e: F.struct(e.alias("encoding"), fold(alphabets[e]).alias("sums"))), done)
+    return let(let(encoding, lambda e: F.struct(e.alias("encoding"), fold(e).alias("sums"))), done)
 
 
 def discoveries(tested: Column, alpha: float, fdr: float) -> Column:

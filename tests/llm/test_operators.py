@@ -88,6 +88,28 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert got == {1: [key], 2: [], 3: []}
 
 
+def test_random_keys_of_every_encoding_are_found(spark):
+    rng = random.Random(5)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    hexa = "0123456789abcdef"
+    cased = lambda s: "".join(rng.choice((c, c.upper())) for c in s)
+    dashed = lambda s, cuts: "-".join(s[a:b] for a, b in zip((0, *cuts), (*cuts, len(s))))
+    makers = {f"{name} {n}": (lambda f=f, n=n: f(n)) for n in (20, 32, 40, 64, 128) for name, f in {
+        "upper hex": lambda n: key(hexa.upper(), n),
+        "mixed hex": lambda n: cased(key(hexa, n)),
+        "base36": lambda n: key("abcdefghijklmnopqrstuvwxyz0123456789", n),
+    }.items()}
+    makers |= {"uuid": lambda: dashed(key(hexa, 32), (8, 12, 16, 20)), "UUID": lambda: dashed(key(hexa, 32).upper(), (8, 12, 16, 20)), "dashed 64": lambda: dashed(key(hexa, 64), range(8, 64, 8))}
+    kinds = list(makers)
+    rows = [(i, f"see {makers[kinds[i % len(kinds)]]()} here") for i in range(100 * len(kinds))]
+    found = Counter()
+    for x in secret_scan.find_secrets(spark.createDataFrame(rows, FIELDS)).collect():
+        found[kinds[x.doc_id % len(kinds)]] += [s.match for s in x.spans] == [rows[x.doc_id][1][4:-5]]
+    assert min(found[k] for k in kinds) >= 88, found
+    plain = ["donaudampfschifffahrtsgesellschaft", "pneumonoultramicroscopicsilicovolcanoconiosis2", "2024-11-25-23-59-59-dec-12", "1234-5678-9012-3456-7890", "face-bead-cafe-dead-beef", "one-of-the-long-page-names-2", "-" * 40 + "a1b2", "ab-" * 40_000 + "1"]
+    assert not any(x.spans for x in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(plain)), FIELDS)).collect())
+
+
 def test_redaction_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "x password: hunter22 y", 22, "s"), (2, None, None, "s")], "doc_id long, text string, n_chars long, __row string")
     out = secret_scan.redact_secrets(docs)
