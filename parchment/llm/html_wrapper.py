@@ -18,6 +18,7 @@ empty tables give empty results.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
@@ -33,6 +34,8 @@ from .common import by_rows
 LONGEST = 3000
 #: Wrappers merged in one task.
 FAN_IN = 64
+#: Pages of different texts that a host must have before a text counts as fixed; so many digests of pages are kept for a host.
+DIFFERENT = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -156,8 +159,13 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
 # stream from a start tag to its end, so groups that the alignment makes are always balanced.
 
 
-def shape(page: str) -> list:
-    """A page as a wrapper of itself: its elements and texts, with neighbouring repeats folded."""
+def _short(text: str) -> str:
+    """A text, or of a long one its beginning and the digest of the whole."""
+    return text if len(text) <= 200 else f"{text[:100]}#{hashlib.blake2b(text.encode('utf-8', 'replace'), digest_size=16).hexdigest()}"
+
+
+def shape(page: str, seen=None) -> list:
+    """A page as a wrapper of itself: its elements and texts, with neighbouring repeats folded. seen, a hash, takes in every text."""
     root: list = []
     stack: list[tuple[str, list]] = [("", root)]
 
@@ -170,7 +178,9 @@ def shape(page: str) -> list:
         children = stack[-1][1]
         if kind == "text":
             if text := _SPACE.sub(" ", value).strip():
-                children.append(["x", text[:200]])
+                children.append(["x", _short(text)])
+                if seen is not None:
+                    seen.update(f"{text}\0".encode("utf-8", "replace"))
             continue
         if kind == "close":
             for i in range(len(stack) - 1, 0, -1):
@@ -258,12 +268,12 @@ def align(a: list, b: list) -> list:
 
 
 def fixed_texts(nodes: list) -> set[str]:
-    """Texts that the wrapper holds fixed."""
+    """Texts that the wrapper holds fixed on every page: none of what is optional."""
     out: set[str] = set()
     for n in nodes:
         if n[0] == "x":
             out.add(n[1])
-        elif n[0] in "eg":
+        elif n[0] in "eg" and n[-2] not in "?*":
             out |= fixed_texts(n[-1])
     return out
 
@@ -274,37 +284,42 @@ class Learner:
     def __init__(self):
         self.wrappers: dict[str, list] = {}
         self.pages: dict[str, int] = {}
+        self.kinds: dict[str, set[str]] = {}
 
-    def add(self, host: str, nodes: list, pages: int = 1) -> None:
+    def add(self, host: str, nodes: list, pages: int, kinds: list[str]) -> None:
         old = self.wrappers.get(host)
         self.pages[host] = self.pages.get(host, 0) + pages
+        self.kinds[host] = set(sorted(self.kinds.get(host, set()).union(kinds))[:DIFFERENT])
         if old is None:
             self.wrappers[host] = nodes
         elif old != nodes:
             self.wrappers[host] = align(old, nodes)
 
-    def rows(self) -> list[tuple[str, int, str]]:
-        return [(h, self.pages[h], json.dumps(w)) for h, w in self.wrappers.items()]
+    def rows(self) -> list[tuple[str, int, str, str]]:
+        return [(h, self.pages[h], ",".join(sorted(self.kinds[h])), json.dumps(w)) for h, w in self.wrappers.items()]
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-_SCHEMA = pa.schema([("host", pa.string()), ("pages", pa.int64()), ("wrapper", pa.string())])
-_FIELDS = "host string, pages long, wrapper string"
+_SCHEMA = pa.schema([("host", pa.string()), ("pages", pa.int64()), ("kinds", pa.string()), ("wrapper", pa.string())])
+_FIELDS = "host string, pages long, kinds string, wrapper string"
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, pages, wrapper) of every host, from all pages."""
+    """(host, pages, kinds, wrapper) of every host, from all pages; kinds: digests of up to DIFFERENT pages whose texts differ."""
     rows = pages.select(host(pages[url_col]).alias("host"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
 
     def learn(batches):
-        learner = Learner()
+        learner, nothing = Learner(), hashlib.blake2b(digest_size=16).digest()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 for h, page in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
-                    learner.add(h, shape(page))
+                    seen = hashlib.blake2b(digest_size=16)
+                    nodes = shape(page, seen)
+                    if seen.digest() != nothing:  # a page without text says nothing of its host
+                        learner.add(h, nodes, 1, [seen.hexdigest()])
         found = learner.rows()
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), _SCHEMA)], schema=_SCHEMA)
@@ -314,9 +329,9 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
         learner = Learner()
         frame = frame.sort_values(["pages", "wrapper"])
-        for n, w in zip(frame["pages"], frame["wrapper"]):
-            learner.add(key[0], json.loads(w), int(n))
-        return pd.DataFrame(learner.rows(), columns=["host", "pages", "wrapper"])
+        for n, kinds, w in zip(frame["pages"], frame["kinds"], frame["wrapper"]):
+            learner.add(key[0], json.loads(w), int(n), kinds.split(","))
+        return pd.DataFrame(learner.rows(), columns=["host", "pages", "kinds", "wrapper"])
 
     parts = rows.mapInArrow(learn, _FIELDS)
     n = pages.rdd.getNumPartitions()
@@ -331,7 +346,7 @@ def main_text(page: str, fixed: frozenset[str] = frozenset()) -> str:
     kept = [b for b in found if not b[3]]
     if any(m for _, _, m, _ in kept):
         return "\n\n".join(t for _, t, m, _ in kept if m)
-    kept = [b for b in kept if _SPACE.sub(" ", b[1])[:200] not in fixed]
+    kept = [b for b in kept if _short(b[1]) not in fixed]
     if not kept:
         return ""
     weight: dict[str, int] = {}
@@ -350,7 +365,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     wrappers = stored(infer(pages, url_col, html_col), "wrappers")
-    wrappers = wrappers.where("pages > 2").select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
+    wrappers = wrappers.where(F.size(F.split("kinds", ",")) >= DIFFERENT).select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"))
     rows = pages.select(pages[id_col].cast("long").alias("__id"), pages[url_col].alias("__url"), host(pages[url_col]).alias("__host"), F.coalesce(pages[html_col], F.lit("")).alias("__html"))
     small = wrappers.agg(F.sum(F.length("__wrapper"))).first()[0] or 0
     joined = rows.join(F.broadcast(wrappers) if small <= 32_000_000 else wrappers, "__host", "left").select("__id", "__url", "__wrapper", "__html")

@@ -334,6 +334,21 @@ def test_wrappers_take_out_what_a_host_repeats(spark):
     assert html_wrapper.extract(pages.limit(0)).count() == 0
 
 
+def texts_of_pages(spark, pages):
+    rows = [(i, f"http://{h}.example/{i}", page) for i, (h, page) in enumerate(pages)]
+    return [x.text for x in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).orderBy("page_id").collect()]
+
+
+def test_only_what_differing_pages_share_is_fixed(spark):
+    copies = [("a", "<div><h1>T</h1><p>one paragraph</p></div>")] * 4
+    opening = [("b", f"<div class=m>Menu line</div><div><h1>H{i}</h1><div>{'same opening ' * 30}{i}</div></div>") for i in range(4)]
+    once = [("c", f"<div class=m>Menu line</div><div><h1>H{i}</h1><p>Text {i}</p>{'<pre>only here</pre>' if i == 2 else ''}</div>") for i in range(4)]
+    got = texts_of_pages(spark, copies + opening + once)
+    assert got[:4] == ["T\n\none paragraph"] * 4
+    assert got[4:8] == [f"H{i}\n\n{'same opening ' * 30}{i}" for i in range(4)]
+    assert got[8:] == [f"H{i}\n\nText {i}" + ("\n\nonly here" if i == 2 else "") for i in range(4)]
+
+
 def test_articles_of_the_tables(spark):
     for x in Q.op10_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
         import html as h
