@@ -6,8 +6,8 @@ alignment: the first page is the first wrapper; each further page is aligned wit
 mismatch a repeated group if the extra tokens repeat what stands beside them, else an optional group. Wrappers are made
 per partition and host, then merged by the same alignment in bounded groups, level by level, so that no task gets all pages of a host.
 
-Extraction: the main region is <article> or <main> where a page has one; else the smallest region of the page that holds
-most of the text in the wrapper's slots. Within it, and whatever the wrapper says, menus, headers and footers of the page,
+Extraction: the main region is <article> or <main> where a page has one; else the whole page, so
+that no headline or part of an article is lost for the container it lies in. Within it, and whatever the wrapper says, menus, headers and footers of the page,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role, id and class. Texts that
 the wrapper holds fixed on every page of the host are left out only where no region was marked as main.
 
@@ -346,17 +346,7 @@ def main_text(page: str, fixed: frozenset[str] = frozenset()) -> str:
     kept = [b for b in found if not b[3]]
     if any(m for _, _, m, _ in kept):
         return "\n\n".join(t for _, t, m, _ in kept if m)
-    kept = [b for b in kept if _short(b[1]) not in fixed]
-    if not kept:
-        return ""
-    weight: dict[str, int] = {}
-    for path, text, _, _ in kept:
-        names = path.split("/")
-        for i in range(len(names) + 1):
-            weight["/".join(names[:i])] = weight.get("/".join(names[:i]), 0) + len(text)
-    total = weight[""]
-    best = max((p for p, w in weight.items() if 2 * w > total and p.rpartition("/")[2] not in ("p", "h1", "h2", "h3", "li", "ul", "ol")), key=lambda p: (p.count("/") + bool(p), p), default="")
-    return "\n\n".join(t for p, t, _, _ in kept if not best or p == best or p.startswith(best + "/"))
+    return "\n\n".join(t for _, t, _, _ in kept if _short(t) not in fixed)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -349,6 +349,12 @@ def test_only_what_differing_pages_share_is_fixed(spark):
     assert got[8:] == [f"H{i}\n\nText {i}" + ("\n\nonly here" if i == 2 else "") for i in range(4)]
 
 
+def test_unmarked_articles_keep_all_parts():
+    body = "word " * 40
+    assert html_wrapper.main_text(f"<div id=content><h1>Title</h1><div class=text><p>{body}</p></div></div>") == f"Title\n\n{body.strip()}"
+    assert html_wrapper.main_text(f"<div><div><p>{body}</p></div><section><blockquote>{body[:100]}</blockquote></section></div>") == f"{body.strip()}\n\n{body[:100].strip()}"
+
+
 def test_articles_of_the_tables(spark):
     for x in Q.op10_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
         import html as h
