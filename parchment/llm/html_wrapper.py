@@ -45,11 +45,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "br"}
 LEFT_OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "input", "menu", "dialog", "head", "object", "embed", "canvas", "audio", "video", "fieldset"} | RAW
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "alertdialog", "menu", "menubar", "form"}
-#: Words of ids and classes, whole between separators, of what isn't main text.
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscri(?:be|ption)|sign-?up|log-?in"
-    r"|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bars?|footers?|site-?header|page-?header|masthead|topbar|toolbar|widgets?|related|recommended|share|sharing|social|follow-?us|comments?|commentlist|responses|replies|discussion|disqus|pagination|pager|skip-?links?|toc)(?:$|[\s_-])"
+#: Words of ids and classes of what isn't main text. A whole class must be made of them; "has-sidebar" or "comments-open" is not.
+_WORD = (
+    r"(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscri(?:be|ption)|sign-?up|log-?in"
+    r"|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bars?|footers?|site-?header|page-?header|masthead|topbar|toolbar|widgets?|related|recommended|share|sharing|social|follow-?us|comments?|commentlist|responses|replies|discussion|disqus|pagination|pager|skip-?links?|toc)"
 )
+_BAD_NAME = re.compile(rf"(?:(?:site|page|main|left|right|top|bottom|primary|secondary)[_-])*{_WORD}(?:[_-](?:{_WORD}|box|bar|list|area|section|block|links|posts))*(?:[_-]?[0-9]+)?")
 #: Start tags that end an open element of the same list, up to the nearest of its parents.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS_END_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -91,17 +92,22 @@ def _left_out(name: str, attributes: str, parents: list[str]) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and _BAD_NAME.search(value):
-            return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def _bad_name(name: str, attributes: str, parents: list[str]) -> bool:
+    """Whether a class or the id is one of the list. Never of the page or its article; an article in an article is a comment or the like."""
+    if not attributes or name in ("html", "body", "main") or name == "article" and "article" not in parents:
+        return False
+    return any(_BAD_NAME.fullmatch(w) for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id") for w in v.strip("\"'").lower().split())
+
+
 def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
     """(path, text, main, left out) of each block of text: text between block tags, its white space folded."""
-    stack: list[tuple[str, bool]] = []  # name, left out
-    out: list[tuple[str, str, bool, bool]] = []
+    stack: list[list] = []  # name, left out, left out by its name, 2 if it holds a <main>, 1 if an <article>
+    out: list[tuple[str, str, bool, list]] = []
     piece: list[str] = []
     seen_body = False
 
@@ -109,8 +115,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         text = _SPACE.sub(" ", _html.unescape("".join(piece))).strip()
         piece.clear()
         if text:
-            names = [s for s, _ in stack if s not in INLINE]
-            out.append(("/".join(names), text, "article" in names or "main" in names, any(b for _, b in stack)))
+            names = [s[0] for s in stack if s[0] not in INLINE]
+            out.append(("/".join(names), text, "article" in names or "main" in names, [*stack]))
 
     def close(name: str) -> None:
         while stack:
@@ -141,16 +147,26 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                         break
                     if stack[i][0] not in INLINE and name == "p":
                         break
-            bad = _left_out(name, value, [s for s, _ in stack]) if not (name in INLINE and not value) else False
-            if bad and name in INLINE:
+            parents = [s[0] for s in stack]
+            bad, named = (False, False) if name in INLINE and not value else (_left_out(name, value, parents), _bad_name(name, value, parents))
+            if (bad or named) and name in INLINE:
                 flush()
-            stack.append((name, bad))
-        elif any(s == name for s, _ in stack):
-            if any(b and s in INLINE for s, b in stack):
+            if name in ("main", "article"):
+                for s in stack:
+                    s[3] = max(s[3], 2 if name == "main" else 1)
+            stack.append([name, bad, named, 0])
+        elif any(s[0] == name for s in stack):
+            if any((s[1] or s[2]) and s[0] in INLINE for s in stack):
                 flush()
             close(name)
     flush()
-    return out
+
+    def without(holds: int) -> list[tuple[str, str, bool, bool]]:
+        return [(p, t, m, any(s[1] or s[2] and s[3] < holds for s in inside)) for p, t, m, inside in out]
+
+    # a name counts for nothing around <main>, and around an <article> where all articles would go
+    found = without(2)
+    return found if any(m and not b for _, _, m, b in found) or not any(m for _, _, m, _ in found) else without(1)
 
 
 # ---- wrappers ------------------------------------------------------------------------------------------------------

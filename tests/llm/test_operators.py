@@ -355,6 +355,15 @@ def test_unmarked_articles_keep_all_parts():
     assert html_wrapper.main_text(f"<div><div><p>{body}</p></div><section><blockquote>{body[:100]}</blockquote></section></div>") == f"{body.strip()}\n\n{body[:100].strip()}"
 
 
+@pytest.mark.parametrize("page", ['<body class="single-post has-sidebar"><article>{}</article></body>', '<body class="sidebar"><main id="toc">{}</main></body>', '<article class="post comments-open comments">{}</article>', '<div class="layout with-sidebar no-sidebar nav-fixed toc-enabled">{}</div>', '<div class="sidebar"><main>{}</main></div>', '<div class="widget"><article>{}</article></div>'])
+def test_names_of_layouts_do_not_empty_pages(page):
+    assert html_wrapper.main_text(page.format("<h1>T</h1><p>text</p><div class='site-footer'>x</div><div class='cookie-notice'>y</div>")) == "T\n\ntext"
+
+
+def test_articles_in_comments_and_teasers_stay_out():
+    assert html_wrapper.main_text("<article><p>text</p><article class=comment>no</article></article><div class='related-posts'><article>teaser</article></div>") == "text"
+
+
 def test_articles_of_the_tables(spark):
     for x in Q.op10_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
         import html as h
