@@ -9,7 +9,8 @@ per partition and host, then merged by the same alignment in bounded groups, lev
 Extraction: the main region is <article> or <main> where a page has one; else the whole page, so
 that no headline or part of an article is lost for the container it lies in. Within it, and whatever the wrapper says, menus, headers and footers of the page,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role, id and class. Texts that
-the wrapper holds fixed on every page of the host are left out only where no region was marked as main.
+the wrapper holds fixed in their place on every page of the host are left out too, also in the main region: what stays is what the
+wrapper has in slots, optional and repeated groups. A host needs pages of DIFFERENT different texts for that.
 
 Defined results: a null page counts as empty and gives an empty text; a page that stops early gives what it has; repeated
 rows are extracted each; a null or malformed URL makes a host of its own kind, the empty one; other columns are left out;
@@ -283,14 +284,17 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
-def fixed_texts(nodes: list) -> set[str]:
-    """Texts that the wrapper holds fixed on every page: none of what is optional."""
-    out: set[str] = set()
+def fixed_texts(nodes: list, path: str = "") -> set[tuple[str, str]]:
+    """(path, text) of what the wrapper holds fixed on every page: all else is in slots, optional or repeated groups."""
+    out: set[tuple[str, str]] = set()
     for n in nodes:
         if n[0] == "x":
-            out.add(n[1])
-        elif n[0] in "eg" and n[-2] not in "?*":
-            out |= fixed_texts(n[-1])
+            out.add((path, n[1]))
+        elif n[0] == "g" and n[1] not in "?*":
+            out |= fixed_texts(n[2], path)
+        elif n[0] == "e" and n[2] not in "?*":
+            name = n[1].partition(".")[0]
+            out |= fixed_texts(n[3], path if name in INLINE else f"{path}/{name}".lstrip("/"))
     return out
 
 
@@ -358,11 +362,9 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
 
 
 def main_text(page: str, fixed: frozenset[str] = frozenset()) -> str:
-    found = blocks(page)
-    kept = [b for b in found if not b[3]]
-    if any(m for _, _, m, _ in kept):
-        return "\n\n".join(t for _, t, m, _ in kept if m)
-    return "\n\n".join(t for _, t, _, _ in kept if _short(t) not in fixed)
+    kept = [b for b in blocks(page) if not b[3]]
+    marked = any(m for _, _, m, _ in kept)
+    return "\n\n".join(t for p, t, m, _ in kept if (m or not marked) and (p, _short(t)) not in fixed)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -364,6 +364,11 @@ def test_articles_in_comments_and_teasers_stay_out():
     assert html_wrapper.main_text("<article><p>text</p><article class=comment>no</article></article><div class='related-posts'><article>teaser</article></div>") == "text"
 
 
+def test_what_a_host_repeats_goes_also_inside_articles(spark):
+    page = lambda i: f"<body><div>Text 1</div><article><h1>H{i}</h1><div class=x1>Join our club</div><div class=x2><p>Text {i}</p></div></article></body>"
+    assert texts_of_pages(spark, [("a", page(i)) for i in range(5)]) == [f"H{i}\n\nText {i}" for i in range(5)]
+
+
 def test_articles_of_the_tables(spark):
     for x in Q.op10_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
         import html as h
