@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import by_rows
 
-#: Tokens of a page's shape that take part in alignment; a shape, unlike the text, is folded, so few pages are longer.
+#: Neighbours in a wrapper from which on optional ones, which hold no fixed text, are not kept, and which are aligned at once.
 LONGEST = 3000
 #: Wrappers merged in one task.
 FAN_IN = 64
@@ -181,6 +181,10 @@ def _short(text: str) -> str:
     return text if len(text) <= 200 else f"{text[:100]}#{hashlib.blake2b(text.encode('utf-8', 'replace'), digest_size=16).hexdigest()}"
 
 
+def _key_of(mark: str) -> str:
+    return mark if len(mark) <= 100 else f"{mark.partition('.')[0]}.{hashlib.blake2b(mark.encode('utf-8', 'replace'), digest_size=16).hexdigest()}"
+
+
 def shape(page: str, seen=None) -> list:
     """A page as a wrapper of itself: its elements and texts, with neighbouring repeats folded. seen, a hash, takes in every text."""
     root: list = []
@@ -215,7 +219,7 @@ def shape(page: str, seen=None) -> list:
         mark = ""
         if value:
             mark = "".join("." + v.strip("\"'") for k, v in _ATTRIBUTE.findall(value) if k.lower() in ("class", "id"))
-        node = ["e", (name + mark)[:100], "1", []]
+        node = ["e", _key_of(name + mark), "1", []]
         stack[-1][1].append(node)
         if name not in VOID:
             stack.append((name, node[3]))
@@ -265,7 +269,7 @@ def fold(nodes: list, longest: int = 4) -> list:
             if len(out) >= 2 * k and [*map(_key, out[-2 * k : -k])] == keys:
                 out[-2 * k :] = [["g", "+", align(out[-2 * k : -k], out[-k:])]]
                 break
-    return out[:LONGEST]
+    return out
 
 
 def align(a: list, b: list) -> list:
@@ -275,13 +279,31 @@ def align(a: list, b: list) -> list:
         return [_unite(x, y) for x, y in zip(a, b)]
     from difflib import SequenceMatcher
 
+    def opcodes():
+        head, tail, least = 0, 0, min(len(a), len(b))
+        if max(len(a), len(b)) > LONGEST:  # what begins and ends alike, then stretch by stretch, so that time stays bounded
+            while head < least and keys_a[head] == keys_b[head]:
+                head += 1
+            while tail < least - head and keys_a[-1 - tail] == keys_b[-1 - tail]:
+                tail += 1
+        end_a, end_b = len(a) - tail, len(b) - tail
+        yield "equal", 0, head, 0, head
+        for at in range(0, max(end_a, end_b) - head, LONGEST):
+            i, k = min(head + at, end_a), min(head + at, end_b)
+            for op, *x in SequenceMatcher(None, keys_a[i : min(i + LONGEST, end_a)], keys_b[k : min(k + LONGEST, end_b)], autojunk=False).get_opcodes():
+                yield op, x[0] + i, x[1] + i, x[2] + k, x[3] + k
+        yield "equal", end_a, len(a), end_b, len(b)
+
     out: list = []
-    for op, i, j, k, m in SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_opcodes():
+    for op, i, j, k, m in opcodes():
         if op == "equal":
             out += [_unite(x, y) for x, y in zip(a[i:j], b[k:m])]
         else:
             out += [["s"] if n[0] in "xs" else _with(n, _quantity(n[2 if n[0] == "e" else 1], "?")) for n in (*a[i:j], *b[k:m])]
-    return fold(out)
+    out = fold(out)
+    if len(out) > LONGEST:  # one that comes again is optional again, so no text becomes fixed by this
+        out = [n for n in out if n[0] in "xs" or n[-2] not in "?*"]
+    return out
 
 
 def fixed_texts(nodes: list, path: str = "") -> set[tuple[str, str]]:

@@ -369,6 +369,14 @@ def test_what_a_host_repeats_goes_also_inside_articles(spark):
     assert texts_of_pages(spark, [("a", page(i)) for i in range(5)]) == [f"H{i}\n\nText {i}" for i in range(5)]
 
 
+def test_fixed_texts_of_long_pages_and_long_keys():
+    page = lambda i: "".join(f"<div class=k{i}-{j}>{i} {j}</div>" for j in range(4000)) + "<div class=end>The end</div>"
+    wrapper = html_wrapper.align(html_wrapper.align(html_wrapper.shape(page(1)), html_wrapper.shape(page(2))), html_wrapper.shape(page(3)))
+    assert html_wrapper.fixed_texts(wrapper) == {("div", "The end")} and len(wrapper) < 10
+    long = html_wrapper.shape(f"<div class={'c' * 120}1>a</div><div class={'c' * 120}2>b</div>")
+    assert html_wrapper.fixed_texts(long) == {("div", "a"), ("div", "b")}
+
+
 def test_articles_of_the_tables(spark):
     for x in Q.op10_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
         import html as h
