@@ -8,7 +8,7 @@ on, and only hits that every part up to the whole allows are compared as a whole
 space as one space. Items are read in blocks of bounded size, each an automaton of its own; blocks are broadcast.
 
 Defined results: null texts and items count as empty and match nothing; items shorter than `least` characters match
-nothing; repeated rows are searched each; equal items match each under its own id; the best occurrence of an item in a
+exactly, between word boundaries; items without an id have no rows but count for the filter; repeated rows are searched each; equal items match each under its own id; the best occurrence of an item in a
 document is the one of least distance, then the earliest end; other columns are left out; empty tables give empty results.
 """
 
@@ -75,17 +75,24 @@ def myers(pattern: str, text: str, enough: int = -1) -> tuple[int, int]:
     return best, at
 
 
+def _in_word(text: str, at: int) -> bool:
+    """Whether a word goes on from the character before this place to the one at it; scripts without spaces have none."""
+    return 0 < at < len(text) and all((c.isalnum() or c == "_") and not "\u2e80" <= c < "\uac00" for c in text[at - 1 : at + 1])
+
+
 class Matcher:
     """Finds the items of one block. items: (id, text)."""
 
     def __init__(self, items: list[tuple[int, str]], budget: float, least: int):
         import ahocorasick
 
-        self.items, self.automaton = [], ahocorasick.Automaton()
+        self.items, self.short, self.automaton = [], set(), ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int, tuple]]] = {}
         for i, text in items:
-            if len(text := normal(text)) >= least:
-                k = int(len(text) * budget)
+            if text := normal(text):
+                k = int(len(text) * budget) if len(text) >= least else 0
+                if len(text) < least:
+                    self.short.add(len(self.items))
                 for a, b, above in pieces(0, len(text), k):
                     where.setdefault(text[a:b], []).append((len(self.items), a, above))
                 self.items.append((i, text, k))
@@ -103,6 +110,8 @@ class Matcher:
         for end, (n, places) in self.automaton.iter(text):
             for item, offset, above in places:
                 start = end + 1 - n - offset
+                if item in self.short and (_in_word(text, start) or _in_word(text, end + 1)):
+                    continue
                 if start not in starts.get(item, ()) and self.allowed(self.items[item][1], text, start, above):
                     starts.setdefault(item, set()).add(start)
         found = []
@@ -148,10 +157,11 @@ def _forget() -> None:
     _places.cache_clear()
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, id_col: str, text_col: str, without_id: bool = False) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of BLOCK_CHARS, read one after another, never all at once."""
     block, size = [], 0
-    for row in id_and_text(items, id_col, text_col).where("__id is not null").toLocalIterator():
+    rows = id_and_text(items, id_col, text_col)
+    for row in (rows if without_id else rows.where("__id is not null")).toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1])
         if size >= BLOCK_CHARS:
@@ -193,7 +203,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "tex
     import uuid
 
     out, place = docs, docs.columns.index(text_col)
-    for block in item_blocks(items, item_id, item_text):
+    for block in item_blocks(items, item_id, item_text, without_id=True):
         shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches, shared=shared, key=key):

@@ -314,6 +314,13 @@ def test_decontamination_on_odd_tables(spark):
     assert decontam.contaminated(empty(spark), items).count() == 0 and decontam.without_contaminated(odd(spark), items.limit(0)).count() == len(ODD)
 
 
+def test_short_items_and_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "Who  wrote Faust? he"), (2, "xwho wrote faust?"), (3, "the long item without any id is here"), (4, "clean"), (5, "他说你好吗")], FIELDS)
+    items = spark.createDataFrame([(1, "who wrote Faust?"), (2, "he"), (None, "long item without any id"), (3, " "), (4, "你好")], "item_id long, text string")
+    assert {(x.doc_id, x.item_id, x.distance) for x in decontam.contaminated(docs, items).collect()} == {(1, 1, 0), (1, 2, 0), (5, 4, 0)}
+    assert {x.doc_id for x in decontam.without_contaminated(docs, items).collect()} == {2, 4}
+
+
 # ---- 10 ------------------------------------------------------------------------------------------------------------
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a>Menu</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Head &amp; more</h1><p>First <b>bold</b>
