@@ -13,11 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each record of the shards, read back from them: its slot, place and the digest of its ids."""
+    """A row for each record of the shards, read back from them: its slot, place and the digest of its ids' bytes."""
     from .training_order import training_order
 
-    index = training_order(_table(spark, sf_dir, "documents"))
-    return index.select("slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
+    return training_order(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ A record is, little-endian: int64 document id, int32 number of the sequence in i
 token ids of 2 bytes (4 for vocabularies beyond 65,536; unused ones are 0), and a newline byte.
 
 Running numbers: pass 1 counts each partition's sequences, pass 2 adds up from there. Both read the same partitions of
-one plan; pass 2 compares each partition's ids and texts with a checksum from pass 1 and raises where they differ, so a
-table whose rows come in another order can't give a wrong result (store such a table first). The payload is shuffled
-once, straight to its shard. Only a number for each partition goes to the driver.
+one plan; pass 2 compares each partition's ids and texts with a checksum over all their bytes from pass 1 and raises where
+they differ, so a table whose rows come in another order can't give a wrong result (store such a table first). Ids take more
+room than compressed text, so encoding twice is cheaper than storing them. The payload is shuffled once, straight to the
+task that writes its shard; a task writes several shards, each a file in a folder of its number. Only a number for each
+partition goes to the driver.
 
 Defined results: a null text counts as empty and has no sequence, a null id is kept as -2**63; repeated rows have
 their own sequences; other columns are ignored; an empty table gives no shards.
@@ -23,6 +25,7 @@ import hashlib
 import math
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import ROWS_AT_ONCE, Memo, by_rows, fresh_path, id_and_text, tokenizer_path, worker_takes
 from .token_count import _TWO_SPACES, VOCABULARY, merger
 
+#: Shards that one task writes, and so many tasks write at most: beyond that each writes more.
+SHARDS_A_TASK, WRITERS = 16, 20_000
 HEAD = "<qii"
 HEAD_SIZE = struct.calcsize(HEAD)
 NO_ID = -(2**63)
@@ -90,12 +95,14 @@ class Feistel:
 class Encoder:
     """Ids of many texts at once.
 
-    The words of a batch, each with the space before it, are looked up by 64-bit hash in a table that numpy reads for
-    all of them together; only words that aren't there are encoded, as one text. Texts whose white space isn't single
-    take the plain way. Table and pool have a fixed size.
+    The words of a batch, each with the space before it, are looked up in a table that numpy reads for all of them
+    together. The table holds the words themselves, up to 16 bytes as two numbers beside their length, so a hit is the
+    same word and not only the same hash; longer words are looked up one by one. Only words that aren't there are encoded,
+    as one text. Texts whose white space isn't single take the plain way. Table and pool have a fixed size.
     """
 
-    SLOTS, POOL, LONGEST = 1 << 21, 6_000_000, 100
+    BITS, POOL, LONG_WORDS, LONGEST = 21, 6_000_000, 50_000, 100
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -107,62 +114,79 @@ class Encoder:
         self.space[[i for b, i in ranks.items() if b[:1] == b" "]] = True
         self.one = lambda s: np.array(self.enc.encode_ordinary(s), self.dtype)
         self.first = Memo(self.one, 20_000)
-        self.multiplier = 0x9E3779B97F4A7C15
-        self.powers = self.inverses = np.ones(1, np.uint64)
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.starts, self.sizes = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        n = 1 << self.BITS
+        self.low, self.high, self.lengths = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.full(n, -1, np.int8)
+        self.starts, self.sizes = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.long: dict[bytes, tuple[int, int]] = {}
         self.pool, self.used = np.empty(self.POOL, self.dtype), 0
 
-    def hashes(self, buffer: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.powers) <= len(buffer):
-            n = 2 * len(buffer) + 1
-            self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, self.multiplier, np.uint64)]))
-            self.inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(self.multiplier, -1, 1 << 64), np.uint64)]))
-        sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(buffer * self.powers[: len(buffer)], out=sums[1:])
-        x = (sums[ends] - sums[at]) * self.inverses[at] + (ends - at).astype(np.uint64)
-        return Feistel._mix(x, np.uint64(0x243F6A8885A308D3)) | np.uint64(1)
-
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word after a space. Words are encoded as one text, whose tokens that begin with a space are where words begin."""
-        ids = self.one(" " + " ".join(words))
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that begin with a space, one after another, and how many each has. Encoded as one text, whose tokens that
+        begin with a space are where words begin."""
+        ids = self.one(b"".join(words).decode())
         at = np.flatnonzero(self.space[ids])
-        return np.split(ids, at[1:]) if len(at) == len(words) else [self.one(" " + w) for w in words]
+        if len(at) == len(words):
+            return ids, np.diff(at, append=len(ids)).astype(np.int32)
+        apart = [self.one(w.decode()) for w in words]
+        return np.concatenate(apart), np.array([len(i) for i in apart], np.int32)
 
     def look_up(self, buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word of the buffer: where its ids begin in a pool, how many they are, and that pool."""
-        raw = np.frombuffer(buffer, np.uint8)
-        at = np.flatnonzero(raw == 32)
-        ends = np.append(at[1:], len(raw))
-        keys = self.hashes(raw, at, ends)
-        slots = (keys >> np.uint64(64 - 21)).astype(np.int64)
+        raw = np.frombuffer(buffer + bytes(24), np.uint8)
+        at = np.flatnonzero(raw[: len(buffer)] == 32)
+        ends = np.append(at[1:], len(buffer))
+        lengths = ends - at - 1
+        eights = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the 8 bytes from each place on
+        low = eights[at + 1] & self.MASKS[np.minimum(lengths, 8)]
+        high = eights[np.minimum(at + 9, len(buffer))] & self.MASKS[np.clip(lengths - 8, 0, 8)]
+        slots = (Feistel._mix(low ^ Feistel._mix(high, np.uint64(0x13198A2E03707344)), lengths.astype(np.uint64)) >> np.uint64(64 - self.BITS)).astype(np.int64)
         starts, sizes = self.starts[slots], self.sizes[slots]
-        misses = np.flatnonzero(self.keys[slots] != keys)
-        pool = self.pool
-        if len(misses):
-            _, one_of, which = np.unique(keys[misses], return_index=True, return_inverse=True)
-            new = misses[one_of]
-            ids = self.encode_words([buffer[a + 1 : b].decode() for a, b in zip(at[new].tolist(), ends[new].tolist())])
-            lengths = np.array([len(i) for i in ids], np.int32)
-            flat = np.concatenate(ids)
-            if self.used + len(flat) > self.POOL:
-                hits = np.flatnonzero(self.keys[slots] == keys)
-                held = self.gather(pool, starts[hits], sizes[hits])
-                starts[hits] = np.cumsum(sizes[hits]) - sizes[hits]
-                self.clear()
-                base, pool = len(held), np.concatenate([held, flat])
+        short = lengths <= 16
+        hit = short & (self.low[slots] == low) & (self.high[slots] == high) & (self.lengths[slots] == lengths)
+        unknown: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(~short).tolist():
+            word = buffer[at[i] : ends[i]]
+            if (known := self.long.get(word)) is not None:
+                starts[i], sizes[i] = known
+                hit[i] = True
             else:
-                base = self.used
-                pool[base : base + len(flat)] = flat
-                self.used += len(flat)
-                keep = ends[new] - at[new] <= self.LONGEST
-                self.keys[slots[new[keep]]] = keys[new[keep]]
-                places = base + np.cumsum(lengths) - lengths
-                self.starts[slots[new[keep]]], self.sizes[slots[new[keep]]] = places[keep], lengths[keep]
-            places = base + np.cumsum(lengths) - lengths
-            starts[misses], sizes[misses] = places[which], lengths[which]
+                unknown.setdefault(word, []).append(i)
+        pool = self.pool
+        misses = np.flatnonzero(short & ~hit)
+        if not len(misses) and not unknown:
+            return starts, sizes, pool
+        order = misses[np.lexsort((high[misses], low[misses], lengths[misses]))]  # equal words together
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]) | (lengths[order][1:] != lengths[order][:-1])
+        kinds = order[new]
+        flat, counts = self.encode_words([*(buffer[a:b] for a, b in zip(at[kinds].tolist(), ends[kinds].tolist())), *unknown])
+        if self.used + len(flat) > self.POOL:
+            held = np.flatnonzero(hit)
+            kept = self.gather(pool, starts[held], sizes[held])
+            starts[held] = np.cumsum(sizes[held]) - sizes[held]
+            self.clear()
+            places = len(kept) + np.cumsum(counts) - counts
+            pool = np.concatenate([kept, flat])
+        else:
+            places = (self.used + np.cumsum(counts) - counts).astype(np.int32)
+            pool[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            where = slots[kinds]
+            where, last = np.unique(where[::-1], return_index=True)  # one word of each place, so that its parts belong together
+            put = kinds[::-1][last]
+            self.low[where], self.high[where], self.lengths[where] = low[put], high[put], lengths[put]
+            self.starts[where], self.sizes[where] = places[: len(kinds)][::-1][last], counts[: len(kinds)][::-1][last]
+            if len(self.long) > self.LONG_WORDS:
+                self.long = {}
+            self.long.update((w, (p, n)) for w, p, n in zip(unknown, places[len(kinds) :].tolist(), counts[len(kinds) :].tolist()) if len(w) <= self.LONGEST)
+        which = np.cumsum(new) - 1
+        starts[order], sizes[order] = places[which], counts[which]
+        for j, rows in enumerate(unknown.values(), len(kinds)):
+            starts[rows], sizes[rows] = places[j], counts[j]
         return starts, sizes, pool
 
     @staticmethod
@@ -226,7 +250,7 @@ class Shards:
     key: str
 
     def files(self, spark: SparkSession) -> DataFrame:
-        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(self.path)
+        return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(self.path)
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = 512, records: int = 8192, key: str = "parchment") -> Shards:
@@ -243,9 +267,8 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns)
                 seen = True
-                for i, t, tokens in zip(ids, texts, encoder.counts(texts)):
-                    n += -(-tokens // length)
-                    crc = zlib.crc32(f"{i}:{len(t)}:{tokens}".encode(), crc)
+                crc = _checksum(ids, texts, crc)
+                n += sum(-(-tokens // length) for tokens in encoder.counts(texts))
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([crc])], schema=count_schema)
 
@@ -269,8 +292,8 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         def rows_of(columns):
             nonlocal at_number, crc
             heads, bodies = [], []
-            for i, t, tokens in zip(*columns, encoder.batch(columns[1])):
-                crc = zlib.crc32(f"{i}:{len(t)}:{len(tokens)}".encode(), crc)
+            crc = _checksum(*columns, crc)
+            for i, tokens in zip(columns[0], encoder.batch(columns[1])):
                 b = tokens.tobytes()
                 for k, a in enumerate(range(0, len(b), size)):
                     body = b[a : a + size]
@@ -286,50 +309,66 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     out = rows.mapInArrow(laid_out, "shard int, slot long, record binary")
     shards = -(-n // records)
+    together = max(SHARDS_A_TASK, -(-shards // WRITERS))
     (
-        out.repartitionById(shards, F.col("shard"))  # shard k is partition k, and Spark names its file part-k
-        .sortWithinPartitions("slot")
-        .select(F.col("record").cast("string"))
-        .write.option("lineSep", "\n")
+        out.repartitionById(-(-shards // together), F.expr(f"shard div {together}").cast("int"))
+        .sortWithinPartitions("shard", "slot")
+        .select("shard", F.col("record").cast("string"))
+        .write.partitionBy("shard")
+        .option("lineSep", "\n")
         .text(path)
     )
     return Shards(path, n, length, records, stride, key)
 
 
+def _checksum(ids: list, texts: list[str], crc: int) -> int:
+    for i, t in zip(ids, texts):
+        crc = zlib.crc32(t.encode(), zlib.crc32(str(i).encode(), crc))
+    return crc
+
+
 def _vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
-def read_index(spark: SparkSession, shards: Shards) -> DataFrame:
-    """A row for each record, read back from the shards: (slot, shard, byte_offset, doc_id, seq_no, n_tokens, ids array<int>)."""
-    fields = "slot long, shard int, byte_offset long, doc_id long, seq_no int, n_tokens int, ids array<int>"
+def read_index(spark: SparkSession, shards: Shards, with_ids: bool = True) -> DataFrame:
+    """A row for each record, read back from the shards: (slot, shard, byte_offset, doc_id, seq_no, n_tokens, ids_sha256, ids array<int>).
+    The digest is that of the used ids' bytes as they are in the record; without with_ids the ids themselves are left out."""
+    fields = "slot long, shard int, byte_offset long, doc_id long, seq_no int, n_tokens int, ids_sha256 string" + (", ids array<int>" if with_ids else "")
     if not shards.n:
         return spark.createDataFrame([], fields)
-    schema = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("byte_offset", pa.int64()), ("doc_id", pa.int64()), ("seq_no", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
     stride, records, length = shards.stride, shards.records, shards.length
     width = (stride - HEAD_SIZE - 1) // length
     kind = np.dtype([("doc", "<i8"), ("seq", "<i4"), ("n", "<i4"), ("ids", "<u2" if width == 2 else "<u4", (length,)), ("end", "u1")])
 
+    def columns(a: np.ndarray, k: int, at: int) -> Iterator[pa.Array]:
+        slots = np.arange(at, at + len(a)) + k * records
+        yield pa.array(slots)
+        yield pa.array(np.full(len(a), k, np.int32))
+        yield pa.array((slots - k * records) * stride)
+        yield pa.array(np.ascontiguousarray(a["doc"]), mask=np.ascontiguousarray(a["doc"] == NO_ID))
+        yield pa.array(a["seq"].copy())
+        yield pa.array(a["n"].copy())
+        yield pa.array([hashlib.sha256(ids[:n].tobytes()).hexdigest() for ids, n in zip(a["ids"], a["n"].tolist())])
+        if with_ids:
+            used = a["ids"][np.arange(length) < a["n"][:, None]].astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(a["n"])]).astype(np.int32)), pa.array(used))
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                k, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer()
-                all_of = np.frombuffer(raw, kind)
+                k, all_of = batch.column(0)[i].as_py(), np.frombuffer(batch.column(1)[i].as_buffer(), kind)
                 for at in range(0, len(all_of), 1024):
-                    a = all_of[at : at + 1024]
-                    slots = np.arange(at, at + len(a)) + k * records
-                    used = a["ids"][np.arange(length) < a["n"][:, None]].astype(np.int32)
-                    ends = np.concatenate([[0], np.cumsum(a["n"])]).astype(np.int32)
-                    doc = pa.array(np.ascontiguousarray(a["doc"]), mask=np.ascontiguousarray(a["doc"] == NO_ID))
-                    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(a), k, np.int32)), pa.array((slots - k * records) * stride), doc, pa.array(a["seq"].copy()), pa.array(a["n"].copy()), pa.ListArray.from_arrays(pa.array(ends), pa.array(used))], schema=schema)
-
-    files = shards.files(spark).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("k"), "content")
+                    made = [*columns(all_of[at : at + 1024], k, at)]
+                    yield pa.RecordBatch.from_arrays(made, names=[f.split()[0] for f in fields.split(", ")])
+
+    files = shards.files(spark).select(F.regexp_extract("path", r"/shard=([0-9]+)/", 1).cast("int").alias("k"), "content")
     return files.mapInArrow(run, fields)
 
 
-def training_order(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
+def training_order(docs: DataFrame, path: str | None = None, with_ids: bool = True, **options) -> DataFrame:
     """Writes the shards (to a fresh folder in the shared one unless told) and returns their records."""
     spark = docs.sparkSession
-    return read_index(spark, write_shards(docs, path or fresh_path(spark, "shards"), **options))
+    return read_index(spark, write_shards(docs, path or fresh_path(spark, "shards"), **options), with_ids)

@@ -143,6 +143,26 @@ def test_pieces_are_those_of_the_library(spark):
     assert piece_codec.encode_pieces(empty(spark)).count() == 0
 
 
+def thue_morse():
+    """Pairs of texts whose words of 1,024 letters have the same polynomial hash by 2**64, whatever its base."""
+    s = "a"
+    while len(s) < 1024:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return [f"{before}{x}{after}" for before, after in (("w ", ""), ("", " w"), ("", " a b c d e f g h i j k l")) for x in (s, s.translate(str.maketrans("ab", "ba")))]
+
+
+def test_words_are_looked_up_by_their_bytes():
+    encoder = training_order.Encoder(tokenizer_path(token_count.VOCABULARY))
+    r = random.Random(7)
+    words = ["".join(r.choices("aé\x00\n😀Z9.", k=r.randint(1, 24))) for _ in range(3000)] + ["a", "a\0", "a\0\0", "x" * 16, "x" * 17, "y" * 5000, *thue_morse()[0].split()]
+    encoder.POOL = 9_000  # so that it is emptied often
+    encoder.clear()
+    for _ in range(60):
+        texts = [" ".join(r.choices(words, k=r.randint(0, 40))) for _ in range(20)]
+        got = encoder.batch(texts)
+        assert [x.tolist() for x in got] == [encoder.enc.encode_ordinary(t) for t in texts] and encoder.counts(texts) == [*map(len, got)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 1000, 4097])
 def test_feistel_is_a_bijection(n):
     f = training_order.Feistel(n, "key")
@@ -153,15 +173,17 @@ def test_feistel_is_a_bijection(n):
 def test_shards_hold_every_sequence_once(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    docs = documents(spark).select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text").where("text not like '%endoftext%' or text is null"))
+    alike = spark.createDataFrame([(100 + i, t) for i, t in enumerate(thue_morse())], FIELDS)
+    docs = odd(spark).where("text not like '%endoftext%' or text is null").unionByName(documents(spark).unionByName(alike, True), True)
     tok = Tokenizer.from_file(tokenizer_path(token_count.VOCABULARY))
     want = Counter()
-    for i, t in docs.collect():
+    for i, t in docs.select("doc_id", "text").collect():
         ids = tok.encode(t or "", add_special_tokens=False).ids
         want.update((i, k, tuple(ids[a : a + 64])) for k, a in enumerate(range(0, len(ids), 64)))
     shards = training_order.write_shards(docs, f"file://{tmp_path}/shards", length=64, records=100)
     rows = training_order.read_index(spark, shards).collect()
     assert Counter((r.doc_id, r.seq_no, tuple(r.ids)) for r in rows) == want
+    assert {r.ids_sha256 for r in rows} == {hashlib.sha256(np.array(ids, "<u2").tobytes()).hexdigest() for _, _, ids in want}
     assert sorted(r.slot for r in rows) == list(range(shards.n)) and all(r.shard == r.slot // 100 and r.byte_offset == r.slot % 100 * shards.stride for r in rows)
     assert training_order.training_order(empty(spark)).count() == 0
 
