@@ -6,7 +6,10 @@ chunks that pass it, and statistics are those of all chunks.
 
 No ranking is ever sorted as a whole: with k results, only chunks among the first 60 + 2(k - 1) + 1 of either ranking can
 be in the result (BM25 alone gives the k-th a score of 1 / (60 + k - 1)). These candidates, a number that depends on k
-alone, get their exact ranks by one counting pass over all scores.
+alone, get their exact ranks by a counting pass: the cosines of an Arrow batch are compared with the candidates' in numpy
+and only counts leave the task. A chunk without any term of the question ranks after those that have one, by id, which is
+counted too. So no row for each question and chunk is made. Search and hybrid run when called, as they bring the candidates of a
+block of questions to the driver between the passes.
 """
 
 from __future__ import annotations
@@ -103,24 +106,15 @@ def visible(chunks: DataFrame) -> DataFrame:
     return known.join(F.broadcast(size)).where(F.size("vec") == F.col("__dim")).drop("__dim")
 
 
-def cosines(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, id, cos) of all chunks and questions (qid, vec), rounded to 6 places. The questions' vectors are broadcast, in
-    blocks of bounded size; an Arrow batch of chunks is multiplied with all of a block at once."""
-    import numpy as np
-    import pandas as pd
-
+def cosines(chunks: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k nearest (qid, id, cos) of each question (qid, vec), cos rounded to 6 places. The questions' vectors are
+    broadcast, in blocks of bounded size; an Arrow batch of chunks is multiplied with all of a block at once."""
     out = []
     for ids, matrix in _blocks(vectors):
-        shared = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def scores(batches, shared=shared):
-            ids, m = shared.value
-            for batch in batches:
-                if len(batch):
-                    v = np.stack(batch["vec"].to_list()).astype(float)
-                    yield pd.DataFrame({"qid": np.tile(ids, len(v)), "id": np.repeat(batch["id"].to_numpy(), len(ids)), "cos": np.round(v @ m.T, 6).ravel()})
-
-        out.append(chunks.select("id", "vec").mapInPandas(scores, "qid long, id long, cos double"))
+        block = _Block(ids.tolist(), matrix.tolist())
+        order = chunks.sparkSession.createDataFrame([*enumerate(block.ids)], "q int, qid long")
+        near = _nearest(chunks, block, k).where("near").select("q", "id", (0.0 - F.col("key")).alias("cos"))
+        out.append(near.join(F.broadcast(order), "q").select("qid", "id", "cos"))
     return reduce(DataFrame.unionByName, out) if out else chunks.sparkSession.createDataFrame([], "qid long, id long, cos double")
 
 
@@ -139,75 +133,270 @@ def _blocks(vectors: DataFrame, numbers: int = 4_000_000):
         yield np.array(ids), np.array(rows)
 
 
-def fuse(scored: DataFrame, k: int = C.TOP_K, constant: int = C.RRF_K, boost: Column | None = None, most_boost: float = 1.0) -> DataFrame:
-    """The k best (qid, id, score, rank) of (qid, id, cos, bm, ok): cos is null where a question has no vector, ok says
-    which chunks pass the question's filter. boost: a factor of each row's score, at most most_boost."""
+@dataclass
+class _Block:
+    """Some questions at once: ids, normalised vectors (None where a question has none), and each one's filter and factor."""
+
+    ids: list[int]
+    vectors: list
+    tests: list[tuple[Column, Column]] | None = None  # None: every chunk passes, with factor 1
+
+    def matrix(self):
+        import numpy as np
+
+        have = [i for i, v in enumerate(self.vectors) if v is not None]
+        return have, np.array([self.vectors[i] for i in have], float) if have else None
+
+    def passing(self) -> Column:
+        return F.array(*[F.coalesce(ok, F.lit(False)) for ok, _ in self.tests])
+
+
+def _first(keys, ids, most: int):
+    """Places of the `most` least (key, id)."""
+    import numpy as np
+
+    if len(keys) > most:
+        limit = np.partition(keys, most - 1)[most - 1]
+        few = np.flatnonzero(keys <= limit)
+    else:
+        few = np.arange(len(keys))
+    return few[np.lexsort((ids[few], keys[few]))][:most]
+
+
+def _nearest(seen: DataFrame, block: _Block, most: int) -> DataFrame:
+    """(q, id) of what can be in a result: each question's `most` nearest chunks (near) and the `most` passing chunks of least id.
+    A task keeps so many of its own; the scores of a batch are made, looked at and dropped, so no row for each question and
+    chunk is made."""
+    import numpy as np
+    import pyarrow as pa
+
+    shared = seen.sparkSession.sparkContext.broadcast((*block.matrix(), len(block.ids)))
+    filtered = block.tests is not None
+
+    def run(batches):
+        have, m, n = shared.value
+        near = [(np.empty(0), np.empty(0, np.int64)) for _ in have]
+        least = [np.empty(0, np.int64) for _ in range(n if filtered else 1)]
+        for batch in batches:
+            ids, ok = _ids(batch), _matrix_of(batch.column("ok"), n) if filtered else None
+            if m is not None and len(ids):
+                scores = -np.round(_matrix_of(batch.column("vec"), m.shape[1]) @ m.T, 6)
+                for j in range(len(have)):
+                    keys, own = np.concatenate([near[j][0], scores[:, j]]), np.concatenate([near[j][1], ids])
+                    at = _first(keys, own, most)
+                    near[j] = keys[at], own[at]
+            for j in range(len(least)):
+                own = np.concatenate([least[j], ids[ok[:, j]] if filtered else ids])
+                least[j] = np.sort(own)[:most]
+        of_near, of_least = [have[j] for j in range(len(have)) for _ in near[j][1]], [j if filtered else -1 for j, x in enumerate(least) for _ in x]
+        if of_near or of_least:
+            keys, found = np.concatenate([*(x for x, _ in near), np.zeros(len(of_least))]), np.concatenate([*(x for _, x in near), *least])
+            yield pa.RecordBatch.from_arrays([pa.array([*of_near, *of_least], pa.int32()), pa.array(keys), pa.array(found, pa.int64()), pa.array([True] * len(of_near) + [False] * len(of_least))], names=["q", "key", "id", "near"])
+
+    columns = ["id", "vec"] + ([block.passing().alias("ok")] if filtered else [])
+    found = seen.select(*columns).mapInArrow(run, "q int, key double, id long, near boolean")
+    place = F.row_number().over(Window.partitionBy("q", "near").orderBy("key", "id"))
+    return found.withColumn("r", place).where(F.col("r") <= most).select("q", "id", "near", "key")
+
+
+def _ids(batch):
+    return batch.column("id").to_numpy(zero_copy_only=False)
+
+
+def _matrix_of(column, width: int):
+    """A list column whose lists have this many values, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _before(keys, ids, of_keys, of_ids):
+    """How many of (keys, ids) stand at each place among the sorted (of_keys, of_ids): before the first, ..., after the last.
+    A row doesn't stand before itself."""
+    import numpy as np
+
+    place = np.searchsorted(of_keys, keys, "right")
+    low = np.searchsorted(of_keys, keys, "left")
+    for i in np.flatnonzero(low < place):
+        place[i] = low[i] + np.searchsorted(of_ids[low[i] : place[i]], ids[i], "right")
+    return np.bincount(place, minlength=len(of_keys) + 1)
+
+
+def _counts(kind: int, q: int, numbers):
+    import numpy as np
+
+    at = np.flatnonzero(numbers)
+    return [(kind, q, int(j), int(numbers[j])) for j in at]
+
+
+def _ranks_in_all(seen: DataFrame, block: _Block, thresholds: dict) -> DataFrame:
+    """(kind, q, place, n): how many chunks stand at each place among a question's candidates, by cosine (kind 0) and, of those
+    that pass, by id (kind 1)."""
+    import numpy as np
+    import pandas as pd
+
+    shared = seen.sparkSession.sparkContext.broadcast((*block.matrix(), len(block.ids), thresholds))
+    filtered = block.tests is not None
+
+    def run(batches):
+        have, m, n, known = shared.value
+        sums: dict = {}
+        for batch in batches:
+            ids, ok = _ids(batch), _matrix_of(batch.column("ok"), n) if filtered else None
+            if not len(ids):
+                continue
+            scores = None if m is None else -np.round(_matrix_of(batch.column("vec"), m.shape[1]) @ m.T, 6)
+            for q, t in known.items():
+                if q in have:
+                    found = _before(scores[:, have.index(q)], ids, t["cos"], t["cos_ids"])
+                    sums[0, q] = sums.get((0, q), 0) + found
+                own = ids[ok[:, q]] if filtered else ids
+                sums[1, q] = sums.get((1, q), 0) + np.bincount(np.searchsorted(t["ids"], own, "right"), minlength=len(t["ids"]) + 1)
+        rows = [x for (kind, q), numbers in sums.items() for x in _counts(kind, q, numbers)]
+        import pyarrow as pa
+
+        if rows:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["kind", "q", "place", "n"]).astype({"kind": "int32", "q": "int32"}), preserve_index=False)
+
+    columns = ["id", "vec"] + ([block.passing().alias("ok")] if filtered else [])
+    return seen.select(*columns).mapInArrow(run, "kind int, q int, place long, n long")
+
+
+def _ranks_in_hits(hits: DataFrame, block: _Block, thresholds: dict) -> DataFrame:
+    """The same among the passing chunks that have a term of the question: by score (kind 2) and by id (kind 3)."""
+    import numpy as np
+    import pandas as pd
+
+    place = {qid: q for q, qid in enumerate(block.ids)}
+    shared = hits.sparkSession.sparkContext.broadcast((place, thresholds))
+
+    def run(batches):
+        of, known = shared.value
+        sums: dict = {}
+        for frame in batches:
+            for qid, rows in frame.groupby("qid"):
+                q = of.get(qid)
+                if q not in known:
+                    continue
+                t, ids = known[q], rows["id"].to_numpy()
+                sums[2, q] = sums.get((2, q), 0) + _before(-rows["bm"].to_numpy(), ids, t["bm"], t["bm_ids"])
+                sums[3, q] = sums.get((3, q), 0) + np.bincount(np.searchsorted(t["ids"], ids, "right"), minlength=len(t["ids"]) + 1)
+        yield pd.DataFrame([x for (kind, q), numbers in sums.items() for x in _counts(kind, q, numbers)], columns=["kind", "q", "place", "n"])
+
+    return hits.select("qid", "id", "bm").mapInPandas(run, "kind int, q int, place long, n long")
+
+
+def _best(seen: DataFrame, bm: DataFrame, block: _Block, k: int, constant: int, most_boost: float) -> list[tuple[int, int, float, int]]:
+    """The k best (qid, id, score, rank) of each question of a block; bm: (qid, id, bm) of chunks with a term of it, bm > 0."""
     import math
 
+    import numpy as np
+
+    spark = seen.sparkSession
     kth = constant + k - 1
     most = math.ceil(2 * most_boost * kth) - constant + 1  # a chunk at this rank in both lists is below the k-th of BM25 alone
-    rows = scored.withColumn("boost", F.lit(1.0) if boost is None else boost).persist(StorageLevel.MEMORY_AND_DISK)  # read five times
-    by_cos, by_bm = (Window.partitionBy("qid").orderBy(F.desc(c), F.asc("id")) for c in ("cos", "bm"))
-    first_cos = rows.where("cos is not null").withColumn("r", F.row_number().over(by_cos)).where(F.col("r") <= most).where("ok")
-    first_bm = rows.where("ok").withColumn("r", F.row_number().over(by_bm)).where(F.col("r") <= most)
-    # dealt anew by qid, as both halves of the union may be in partitions of their own number
-    candidates = first_cos.unionByName(first_bm).drop("r").repartition("qid").dropDuplicates(["qid", "id"]).persist(StorageLevel.MEMORY_AND_DISK)
-    lists = candidates.groupBy("qid").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("neg"), "id"))).alias("cs"),
-        F.sort_array(F.collect_list(F.struct((-F.col("bm")).alias("neg"), "id"))).alias("bs"),
-    )  # at most 2 * most of each question
-    rows_with = rows.join(F.broadcast(lists), "qid")
-
-    def exact(values: str, score: str, where: Column) -> DataFrame:
-        """(qid, id, r): how many rows stand before each candidate. Each row counts the candidates that it stands before; these numbers are few."""
-        own = F.struct((-F.col(score)).alias("neg"), F.col("id").alias("id"))
-        before = rows_with.where(where).select("qid", F.size(F.filter(values, lambda c: own < c)).alias("m"))
-        counts = before.groupBy("qid", "m").agg(F.count("*").alias("n"))
-        places = lists.select("qid", F.size(values).alias("size"), F.posexplode(values).alias("j", "c")).select("qid", F.col("c.id").alias("id"), (F.col("size") - F.col("j")).alias("least"))
-        return places.join(counts, (places["qid"] == counts["qid"]) & (counts["m"] >= places["least"]), "left").groupBy(places["qid"], places["id"]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("r"))
-
-    cos_ranks = exact("cs", "cos", F.col("cos").isNotNull()).withColumnRenamed("r", "cos_rank")
-    bm_ranks = exact("bs", "bm", F.col("ok")).withColumnRenamed("r", "bm_rank")
-    ranked = candidates.join(cos_ranks, ["qid", "id"]).join(bm_ranks, ["qid", "id"])
-    of_cos = F.when(F.col("cos").isNotNull(), 1.0 / (constant + F.col("cos_rank"))).otherwise(0.0)
-    score = (of_cos + 1.0 / (constant + F.col("bm_rank"))) * F.col("boost")
-    tie = F.when(F.col("cos").isNotNull(), F.col("cos_rank")).otherwise(F.col("bm_rank"))
-    ranked = ranked.select("qid", "id", F.round(score, 9).alias("score"), tie.alias("tie"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("tie"))
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
-
-
-def hybrid(chunks: DataFrame, questions: DataFrame, index: ix.Index | None = None, k: int = C.TOP_K) -> DataFrame:
-    """The k best (qid, id, score, rank) for each plain question (qid, question, vec), without query language; for evaluation."""
+    order = spark.createDataFrame([*enumerate(block.ids)], "q int, qid long")
+    tests = None
+    if block.tests is not None:
+        tests = F.array(*[F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), factor.alias("factor")) for ok, factor in block.tests])
+    hits = bm.join(F.broadcast(order), "qid")
+    if tests is not None:
+        hits = hits.join(seen.select("id", tests.alias("t")), "id").where(F.element_at("t", F.col("q") + 1)["ok"]).drop("t")
+    hits = hits.select("qid", "q", "id", "bm").persist(StorageLevel.MEMORY_AND_DISK)  # read three times
+    try:
+        every = [i for i, _ in enumerate(block.ids)]
+        first = _nearest(seen, block, most)
+        near, least = first.where("near").select("q", "id"), first.where("not near").select("q", "id")
+        least = least.where("q >= 0").unionByName(least.where("q < 0").select("id").distinct().select(F.explode(F.lit(every).cast("array<int>")).alias("q"), "id")) if block.tests is None else least
+        by_score = Window.partitionBy("q").orderBy(F.desc("bm"), F.asc("id"))
+        top = hits.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= most).select("q", "id")
+        wanted = near.unionByName(least).unionByName(top).distinct()
+        with_vec = [(q, v) for q, v in enumerate(block.vectors) if v is not None]
+        asked = spark.createDataFrame(with_vec or [], "q int, v array<double>")
+        cos = F.round(F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6)
+        rows = wanted.join(seen.select("id", "vec", *([tests.alias("t")] if tests is not None else [])), "id").join(F.broadcast(asked), "q", "left")
+        passing = F.element_at("t", F.col("q") + 1) if tests is not None else F.struct(F.lit(True).alias("ok"), F.lit(1.0).alias("factor"))
+        rows = rows.select("q", "id", cos.alias("cos"), passing.alias("p")).where("p.ok").join(hits.select("q", "id", "bm"), ["q", "id"], "left")
+        found = rows.select("q", "id", "cos", F.col("p.factor").alias("factor"), "bm").toPandas()  # for each question a number that depends on k alone
+        thresholds, of_question = {}, {}
+        for q, rows_of in found.groupby("q"):
+            ids, c, b = rows_of["id"].to_numpy(), rows_of["cos"].to_numpy(float), rows_of["bm"].fillna(0.0).to_numpy(float)
+            # of the least ids, only those that follow the ones with a term can be in the result
+            keep = np.zeros(len(ids), bool)
+            if not np.isnan(c).all():
+                keep[_first(-c, ids, most)] = True
+            keep[_first(-b, ids, most)] = True
+            ids, c, b, factor = ids[keep], c[keep], b[keep], rows_of["factor"].to_numpy(float)[keep]
+            by_cos, by_bm = np.lexsort((ids, -c)), np.lexsort((ids, -b))
+            by_bm = by_bm[b[by_bm] > 0]
+            thresholds[q] = {"cos": -c[by_cos], "cos_ids": ids[by_cos], "bm": -b[by_bm], "bm_ids": ids[by_bm], "ids": np.sort(ids)}
+            of_question[q] = ids, c, b, factor, by_cos, by_bm
+        if not thresholds:
+            return []
+        counts = _ranks_in_all(seen, block, thresholds).unionByName(_ranks_in_hits(hits, block, thresholds))
+        sums: dict = {}
+        for kind, q, place, n in counts.groupBy("kind", "q", "place").agg(F.sum("n")).collect():
+            sums.setdefault((kind, q), {})[place] = n
+        out = []
+        for q, (ids, c, b, factor, by_cos, by_bm) in of_question.items():
+
+            def ahead(kind: int, size: int, q=q):
+                found = sums.get((kind, q), {})
+                return np.cumsum([found.get(j, 0) for j in range(size + 1)])
+
+            sorted_ids = np.argsort(ids, kind="stable")
+            cos_rank, bm_rank, all_before, hits_before = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
+            cos_rank[by_cos] = ahead(0, len(ids))[:-1]
+            bm_rank[by_bm] = ahead(2, len(by_bm))[:-1]
+            all_before[sorted_ids], hits_before[sorted_ids] = ahead(1, len(ids))[:-1], ahead(3, len(ids))[:-1]
+            without = b <= 0  # those without a term come after all that have one, in order of id
+            bm_rank[without] = ahead(2, len(by_bm))[-1] + all_before[without] - hits_before[without]
+            has_vector = block.vectors[q] is not None
+            score = np.array([round(float(x), 9) for x in ((1.0 / (constant + cos_rank) if has_vector else 0.0) + 1.0 / (constant + bm_rank)) * factor])
+            tie = cos_rank if has_vector else bm_rank
+            for rank, i in enumerate(np.lexsort((tie, -score))[:k], 1):
+                out.append((block.ids[q], int(ids[i]), float(score[i]), rank))
+        return out
+    finally:
+        hits.unpersist()
+
+
+RESULT = "qid long, id long, score double, rank int"
+
+
+def hybrid(chunks: DataFrame, questions: DataFrame, index: ix.Index | None = None, k: int = C.TOP_K, constant: int = C.RRF_K) -> DataFrame:
+    """The k best (qid, id, score, rank) for each plain question (qid, question, vec), without query language; for evaluation.
+    Questions go in blocks of bounded size; what a block brings to the driver depends on k and its questions."""
     seen = visible(chunks)
-    index = index or ix.build(seen)
-    cos = cosines(seen, questions.where("vec is not null"))
-    bm = ix.bm25(index, questions).withColumnRenamed("score", "bm")
-    return fuse(cos.join(bm, ["qid", "id"], "left").select("qid", "id", "cos", F.coalesce("bm", F.lit(0.0)).alias("bm"), F.lit(True).alias("ok")), k)
+    with_vectors = questions.where("vec is not null")
+    scores = (ix.bm25(index, with_vectors) if index else ix.bm25_of(seen, with_vectors)).withColumnRenamed("score", "bm").where("bm > 0")
+    out = []
+    for ids, vectors in _blocks(with_vectors):
+        out += _best(seen, scores, _Block(ids.tolist(), vectors.tolist()), k, constant, 1.0)
+    return chunks.sparkSession.createDataFrame(out, RESULT)
 
 
-def search(chunks: DataFrame, queries: list[tuple[int, str, list[float] | None]], k: int = C.TOP_K, index: ix.Index | None = None, tag_boost: float = 1.0) -> DataFrame:
+def search(chunks: DataFrame, queries: list[tuple[int, str, list[float] | None]], k: int = C.TOP_K, index: ix.Index | None = None, tag_boost: float = 1.0, constant: int = C.RRF_K) -> DataFrame:
     """The k best (qid, id, score, rank) of each (qid, text, vector) in the query language. A vector counts only beside free text."""
     spark: SparkSession = chunks.sparkSession
     seen = visible(chunks)
-    index = index or ix.build(seen)
-    parsed = [(qid, parse(text), text or "", vec) for qid, text, vec in queries]
-    asked = spark.createDataFrame([(qid, p.free or text) for qid, p, text, _ in parsed if p.free or text], "qid long, question string")
-    vectors = spark.createDataFrame([(qid, [float(x) for x in vec]) for qid, p, _, vec in parsed if vec and p.free], "qid long, vec array<double>")
-    bm = ix.bm25(index, asked).withColumnRenamed("score", "bm")
-    cos = cosines(seen, vectors)
-    tests = []
-    for qid, p, text, _ in parsed:
-        if p.free or text:
-            own = _query_tags(p.free or text)
-            factor = F.when(F.arrays_overlap(F.col("tags"), F.array(*map(F.lit, own))), tag_boost).otherwise(1.0) if own and tag_boost != 1 else F.lit(1.0)
-            tests.append(F.struct(F.lit(qid).cast("long").alias("qid"), passes(p, F.col("source"), F.col("text"), F.col("tags")).alias("ok"), factor.alias("factor")))
-    if not tests:
-        return spark.createDataFrame([], "qid long, id long, score double, rank int")
-    grid = seen.select("id", F.explode(F.array(*tests)).alias("t")).select("id", "t.*")
-    scored = grid.join(cos, ["qid", "id"], "left").join(bm, ["qid", "id"], "left")
-    scored = scored.select("qid", "id", "cos", F.coalesce("bm", F.lit(0.0)).alias("bm"), "ok", "factor")
-    return fuse(scored, k, boost=F.col("factor"), most_boost=max(1.0, tag_boost))
+    block = _Block([], [], [])
+    asked = []
+    for qid, text, vec in queries:
+        p = parse(text)
+        plain = p.free or text or ""
+        if not plain:
+            continue
+        asked.append((qid, plain))
+        own = _query_tags(plain)
+        factor = F.when(F.arrays_overlap(F.col("tags"), F.array(*map(F.lit, own))), tag_boost).otherwise(1.0) if own and tag_boost != 1 else F.lit(1.0)
+        block.ids.append(qid)
+        norm = sum(float(x) ** 2 for x in vec) ** 0.5 if vec else 0.0
+        block.vectors.append([float(x) / (norm or 1.0) for x in vec] if vec and p.free else None)
+        block.tests.append((passes(p, F.col("source"), F.col("text"), F.col("tags")), factor))
+    if not asked:
+        return spark.createDataFrame([], RESULT)
+    questions = spark.createDataFrame(asked, "qid long, question string")
+    scores = (ix.bm25(index, questions) if index else ix.bm25_of(seen, questions)).withColumnRenamed("score", "bm").where("bm > 0")
+    return spark.createDataFrame(_best(seen, scores, block, k, constant, max(1.0, tag_boost)), RESULT)
 
 
 def _query_tags(text: str) -> list[str]:

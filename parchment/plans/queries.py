@@ -138,23 +138,23 @@ def tokens(spark, sf_dir):
     return toks.select("doc_id", F.size("t").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("tokens_sha256"))
 
 
-def _document_index(spark, sf_dir) -> ix.Index:
-    return ix.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit(" ")).alias("text")))
+def _indexed_documents(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit(" ")).alias("text"))
 
 
 @query
 def term_df_idf(spark, sf_dir):
-    return _document_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return ix.build(_indexed_documents(spark, sf_dir)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
 def bm25_topk(spark, sf_dir):
-    return ix.top(ix.bm25(_document_index(spark, sf_dir), questions(spark, sf_dir)), C.TOP_K)
+    return ix.top(ix.bm25_of(_indexed_documents(spark, sf_dir), questions(spark, sf_dir)), C.TOP_K)
 
 
 @query
 def cosine_topk(spark, sf_dir):
-    found = search.cosines(with_vectors(spark, sf_dir), questions(spark, sf_dir))
+    found = search.cosines(with_vectors(spark, sf_dir), questions(spark, sf_dir), C.TOP_K)
     return ix.top(found.withColumnRenamed("cos", "score"), C.TOP_K)
 
 
@@ -199,7 +199,7 @@ def eval_diff(spark, sf_dir):
 def golden_recall(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = questions(spark, sf_dir)
-    best = ix.top(ix.bm25(_document_index(spark, sf_dir), asked), 5).withColumn("rank", F.col("rank") + 1).join(docs, "id")
+    best = ix.top(ix.bm25_of(_indexed_documents(spark, sf_dir), asked), 5).withColumn("rank", F.col("rank") + 1).join(docs, "id")
     return evaluation.golden(asked.select("qid", F.get(F.split("answer", " "), F.lit(2)).alias("expected")), best)
 
 

@@ -20,9 +20,7 @@ def ingest(spark: SparkSession, path: str, store: Store, checkpoint: str, glossa
     arriving = arriving.where(~F.col("name").rlike(r"^(~\$|\.)") & F.regexp_extract(F.lower("name"), r"(\.[^.]*)$", 1).isin(*sorted(folder.KNOWN)))
 
     def add(batch: DataFrame, _: int) -> None:
-        new = folder.new_chunks(folder.extract(batch, glossary_below), store.read())
-        if not new.isEmpty():
-            store.add(new)
+        store.add(folder.new_chunks(folder.extract(batch, glossary_below), store.read()))
 
     return arriving.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -81,6 +81,36 @@ def test_folder_to_store(spark, tmp_path):
     assert store.read().count() == 0
 
 
+def test_ids_are_dense_whatever_the_plan(spark, tmp_path):
+    rows = spark.range(40_000).select(F.concat(F.lit("s"), F.col("id") % 700).alias("source"), F.col("id").cast("int").alias("ord"), F.repeat(F.lit("wide text "), 40).alias("text"), F.array(F.lit("t")).alias("tags"), F.sha1(F.col("id").cast("string")).alias("doc_hash"))
+    store = Store(spark, str(tmp_path / "store"))
+    store.add(rows)
+    got = store.read().select("id", "source", "ord").orderBy("id").collect()
+    assert [r.id for r in got] == list(range(1, 40_001)) and got == sorted(got, key=lambda r: (r.source, r.ord))
+    store.put_vectors(spark.range(1, 40_001).select("id", F.array(F.lit(3.0), F.lit(4.0)).alias("vector")).where("id % 2 = 0"))
+    assert store.read().where("vec is not null").count() == 20_000 == store.pending().count()
+
+
+def test_store_keeps_segments_and_forgets_old_ones(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), most=4)
+    chunk = lambda s, text: spark.createDataFrame([(s, 0, text, ["x"], text)], "source string, ord int, text string, tags array<string>, doc_hash string")
+    folders = lambda: {p.name for p in (tmp_path / "store").iterdir() if p.is_dir()}
+    store.add(chunk("a", "one"))
+    first = folders()
+    store.add(chunk("b", "two"))
+    assert first <= folders() and len({n for n in folders() if n.startswith("segment")}) == 2  # the first segment is as it was
+    store.add(chunk("a", "three"))
+    store.put_vectors(spark.createDataFrame([(3, [2.0])], "id long, vector array<double>"))
+    store.delete("b")
+    assert [(r.id, r.source, r.text, r.vec) for r in store.read().collect()] == [(3, "a", "three", [1.0])]
+    store.add(chunk("b", "four"))
+    store.add(chunk("c", "five"))
+    assert {(r.id, r.source) for r in store.read().collect()} == {(3, "a"), (4, "b"), (5, "c")}
+    store.reset()
+    store.add(chunk("d", "six"))
+    assert [(r.id, r.source) for r in store.read().collect()] == [(1, "d")] and len(folders()) <= 4 and not any(n.startswith("staging") for n in folders())
+
+
 def test_workbooks(spark):
     files = spark.createDataFrame([("k.xlsx", bytearray(BOOK))], "name string, content binary")
     got = [(r.qid, r.question, r.sheet) for r in folder.questions(files).orderBy("qid").collect()]
