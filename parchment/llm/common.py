@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchment.storage import fresh_path, shared_dir
+
 #: Rows that a Python worker turns into Python objects at once; bounds memory whatever the Arrow batch holds.
 ROWS_AT_ONCE = 512
 
@@ -22,19 +21,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that the driver and all executors share; one of our own only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "parchment-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -43,8 +29,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete what stored() wrote for df, once nothing reads it any more."""
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, most: int = 1000) -> DataFrame:
+    """left joined (inner) with right, which has a row for each key and in `weight` how many rows of left have it.
+
+    Keys with more than total / most rows, so at most `most` of them for each time a row of left counts in total, are
+    broadcast; the others are joined by a shuffle, in which no key is large.
+    """
+    hot = F.broadcast(right.where(F.col(weight) > total / most))
+    cold = right.where(F.col(weight) <= total / most)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for these, once nothing reads it any more."""
+    for df in frames:
+        _forget(df)
+
+
+def _forget(df: DataFrame) -> None:
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     base = shared_dir(spark)

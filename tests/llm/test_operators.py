@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parchment.llm import decontam, html_wrapper, neardup, order_minhash, pii, piece_codec, quality, secret_scan, token_count, training_order
+from parchment.llm import common, decontam, html_wrapper, neardup, order_minhash, pii, piece_codec, quality, secret_scan, token_count, training_order
 from parchment.llm import queries as Q
 from parchment.llm.common import tokenizer_path
 
@@ -79,6 +79,15 @@ def test_spans_are_those_of_python(spark, module, base, samples):
     assert find(empty(spark)).count() == 0
 
 
+def test_spans_of_long_texts_with_very_many(spark):
+    rows = [(1, "".join(f"😀 write to user{i}@mail{i % 7}.example.org from 10.0.{i % 256}.{i % 250} or token={i:08d}\n" for i in range(20_000))), (2, "x" * 4094 + " a@b.cc " + "y" * 100), (3, "é" * 4095 + " 123-45-6789 ssn")]
+    docs = spark.createDataFrame(rows, FIELDS)
+    for module, base, find in ((pii, base_personal, pii.find_pii), (secret_scan, base_secrets, secret_scan.find_secrets)):
+        assert {x.doc_id: x.base_sha256 for x in module.digest(find(docs)).collect()} == {i: sha(joined(base(t))) for i, t in rows}
+    scores = {(x.doc_id, s.kind): round(s.score, 6) for x in pii.find_pii(docs.where("doc_id > 1")).collect() for s in x.spans}
+    assert scores == {(2, "email"): 0.9, (3, "ssn"): 0.6}
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     r = random.Random(1)
     alphabet = secret_scan.ALPHABETS["alnum"]
@@ -110,6 +119,49 @@ def test_random_keys_of_every_encoding_are_found(spark):
     assert not any(x.spans for x in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(plain)), FIELDS)).collect())
 
 
+def scored_run(run):
+    """(encoding, n, misfit, bits) of a run from the definitions: math.erfc for the normal, counts of every character."""
+    import math
+
+    bare = run.rstrip("=")
+    name = next((n for n, rx in secret_scan.FITS if re.search(rx.replace("++", "+").replace("*+", "*"), bare)), "base64")
+    body, alphabet = (bare.replace("-", "").lower() if name in ("hex_mixed", "hex_dashed") else bare), secret_scan.ALPHABETS[name]
+    n, k, x = len(body), len(alphabet), [alphabet.index(c) for c in body]
+    log_p = lambda z: -math.log2(p) if (p := math.erfc(abs(z) / math.sqrt(2))) > 1e-300 else z * z / 2 * math.log2(math.e) + math.log2(abs(z) * math.sqrt(math.pi / 2))
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    z = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    worst = [log_p(z) + 1 if z > 0 else 0]
+    sides = [2 * v >= k for v in x]
+    n1, n0, runs = sum(sides), n - sum(sides), 1 + sum(a != b for a, b in zip(sides, sides[1:]))
+    mean = 2 * n1 * n0 / n + 1
+    worst.append(log_p((runs - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1))) if n1 and n0 else math.sqrt(n)))
+    m = sum(x) / n
+    var = sum((v - m) ** 2 for v in x)
+    worst.append(log_p((sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / var + 1 / n) * math.sqrt(n) if var > 1e-9 else math.sqrt(n)))
+    return name, n, max(0, max(worst) - math.log2(3)), sum(secret_scan._surprise()[c] for c in body) - n * math.log2(k)
+
+
+def test_battery_and_false_discovery_control_are_those_of_the_definitions(spark):
+    import math
+
+    r = random.Random(11)
+    letters = "".join(c * n for c, n in secret_scan.LETTERS.items())
+    runs = ["".join(r.choices(a, k=n)) for a in secret_scan.ALPHABETS.values() for n in (20, 33, 90)] + ["".join(r.choices(letters, k=n)) for n in (20, 40, 80)] + ["xy" * 30, "a1" * 12, "Q" * 25, "0123456789abcdef" * 3, "zyxwvutsrqponmlkjihgf1"]
+    got = [x.b for x in spark.createDataFrame(list(enumerate(runs)), FIELDS).select("doc_id", secret_scan.battery(F.col("text")).alias("b")).orderBy("doc_id").collect()]
+    for run, b in zip(runs, got):
+        name, n, misfit, bits = scored_run(run)
+        assert (b.encoding, b.n) == (name, n) and abs(b.bits - bits) < 1e-6 and abs(b.misfit - misfit) < 0.1 + 0.01 * misfit, run
+    docs = [(i, " . ".join(r.choices(runs, k=r.randint(1, 8)))) for i in range(80)]
+    want = {}
+    for i, text in docs:
+        spans = [m for m in re.finditer(secret_scan.RUN, text) if not any(a < m.end() and m.start() < e for a, _, e, _ in base_secrets(text))]
+        order = sorted((x[3] - x[2], m.start()) for m in spans if (x := scored_run(m[0]))[2] <= math.log2(1000))[::-1]
+        last = max([j for j, (e, _) in enumerate(order) if e >= math.log2(len(spans) / (0.001 * (j + 1)))], default=-1)
+        want[i] = {at for _, at in order[: last + 1]}
+    found = {x.doc_id: {s.start for s in x.spans if s.kind == "random"} for x in secret_scan.find_secrets(spark.createDataFrame(docs, FIELDS)).collect()}
+    assert found == want and any(want.values()) and any(len(w) < 3 for w in want.values())
+
+
 def test_redaction_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "x password: hunter22 y", 22, "s"), (2, None, None, "s")], "doc_id long, text string, n_chars long, __row string")
     out = secret_scan.redact_secrets(docs)
@@ -209,6 +261,7 @@ def components(rows, k):
 def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)  # so that small groups already need several blocks
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(neardup, "hot_join", lambda *a: common.hot_join(*a, most=20))  # so that some keys are hot
     r = random.Random(2)
     made, words = [], [f"w{i}" for i in range(300)]
     for g in range(12):  # chains: neighbours are near, ends are not
@@ -217,12 +270,30 @@ def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch):
             for _ in range(r.randint(0, 2)):
                 text[r.randrange(60)] = r.choice(words)
             made.append((5000 - len(made), " ".join(text)))
-    rows = [*made, *[(i, t) for i, t in texts_of(documents(spark)).items()], (9001, None), (9002, ""), (9003, "A b"), (9004, "a B"), (9005, "a b c")]
+    rows = [*made, *[(i, t) for i, t in texts_of(documents(spark)).items()], (9001, None), (9002, ""), (9003, "A b"), (9004, "a B"), (9005, "a b c"), *enumerate(thue_morse(), 9100)]
     want = components(rows, 4)
     got = neardup.near_duplicates(spark.createDataFrame(rows, FIELDS), words=4).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want and all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_rows_of_one_id_and_without_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "z")
+    rows = [(7, a), (7, b), (7, b), (9, near), (8, b), (None, a), (None, a), (3, c), (5, ""), (5, None), (5, "  ")]
+    got = Counter((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(spark.createDataFrame(rows, FIELDS)).collect())
+    assert got == Counter([(7, 36, 7, True)] * 3 + [(9, 36, 7, False), (8, 36, 7, False), (None, 36, None, True), (None, 36, None, True), (3, 36, 3, True)] + [(5, 0, 5, True)] * 3)
+    kept = neardup.one_of_each_group(spark.createDataFrame(rows, FIELDS)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(7, a), (7, b), (None, a), (None, a), (3, c), (5, ""), (5, None), (5, "  ")])
+
+
+def test_hashes_of_words_tell_words_apart():
+    words = ["a", "a\0", "ab", "b" * 8, "b" * 9, "b" * 256, "b" * 257, "b" * 5000, "b" * 5001, "é", *thue_morse()]
+    texts = sorted({w for t in words for w in t.split()})
+    apart = [int(h[0]) for h in neardup.word_hashes(texts)]
+    assert len({*apart}) == len(texts)
+    assert np.concatenate(neardup.word_hashes([" ".join(texts).upper().replace("É", "é")])).tolist() == apart
+
+
 def test_near_duplicates_on_odd_tables(spark):
     got = neardup.near_duplicates(odd(spark)).collect()
     assert len(got) == len(ODD) and [x.component_id for x in got if x.doc_id == 4] == [4, 4]
@@ -247,6 +318,34 @@ def test_quality_on_odd_tables(spark):
     assert quality.score(empty(spark), one).count() == 0
 
 
+def test_sample_bounds_what_the_driver_gets(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: got.append((len(x), len(y))))
+    rows = spark.range(300).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    quality.train(rows, spark.createDataFrame([(i, i % 2) for i in range(3)], "doc_id long, quality int"), sample=20)
+    assert got == [(20, 20)]
+
+
+def test_flat_trees_are_those_of_plain_search():
+    """Walks each row alone, and holds the first tree's root against a search over all features and thresholds."""
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(400, 5)), 1)
+    y = ((x[:, 1] + x[:, 3] > 0.3) ^ (r.random(400) < 0.1)).astype(float)
+    model = quality.fit(x, y, trees=6, depth=3, bins=400, least=10)
+    for row in x[:60]:
+        total = model.base
+        for node in model.roots.tolist():
+            while model.left[node] != node:
+                node = int((model.left if row[model.feature[node]] <= model.threshold[node] else model.right)[node])
+            total += model.value[node]
+        assert abs(total - model.raw(row[None])[0]) < 1e-12
+    g, h = y - y.mean(), y.mean() * (1 - y.mean())
+    gain = lambda m: (g[m].sum() ** 2 / (h * m.sum() + 1) + g[~m].sum() ** 2 / (h * (~m).sum() + 1)) if 10 <= m.sum() <= 390 else -1
+    best = max(gain(x[:, j] <= t) for j in range(5) for t in np.unique(x[:, j]))
+    root = model.roots[0]
+    assert abs(gain(x[:, model.feature[root]] <= model.threshold[root]) - best) < 1e-9
+
+
 def test_flat_trees_learn():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 3))
@@ -290,6 +389,13 @@ def test_fingerprints_on_odd_tables(spark):
     got = order_minhash.fingerprint_edits(odd(spark)).collect()
     assert len(got) == len(ODD) and len({x.fingerprint for x in got if x.doc_id in (1, 2)}) == 1
     assert [x.near_next for x in order_minhash.fingerprint_edits(spark.createDataFrame([(1, "allein")], FIELDS)).collect()] == [1.0]
+    assert len({order_minhash.shown(f) for f in order_minhash.fingerprints(thue_morse())}) == 6
+    same = [(5, f"text {i % 7} of the same id") for i in range(300)] + [(None, "x y")] * 50 + [(6, "last one")]
+    got = order_minhash.fingerprint_edits(spark.createDataFrame(same, FIELDS).repartition(6), parts=9).collect()
+    text_of = lambda i, t: (i is not None, i or 0, hashlib.md5(t.encode()).hexdigest(), t)
+    rows = sorted(text_of(*x) for x in same)
+    want = Counter((i if has else None, sha(order_minhash.edited(t, u[3]))) for (has, i, _, t), u in zip(rows, [*rows[1:], rows[0]]))
+    assert Counter((x.doc_id, x.edited_sha256) for x in got) == want
     assert order_minhash.fingerprint_edits(empty(spark)).count() == 0
 
 
@@ -406,6 +512,67 @@ def test_fixed_texts_of_long_pages_and_long_keys():
     assert html_wrapper.fixed_texts(long) == {("div", "a"), ("div", "b")}
 
 
+def test_attributes_and_deep_pages(spark):
+    assert html_wrapper.main_text("<p title=it's>Hello</p>") == "Hello"
+    assert html_wrapper.main_text('<p title="never closed>Hello</p><p>more</p>') == "Hello\n\nmore"
+    assert html_wrapper.main_text('<p title="a > b" data-x=\'<p>\'>Hello</p>') == "Hello"
+    deep = lambda i: "<div>" * 900 + f"text {i}" + "</div>" * 900 + "<p>Same line</p>"
+    assert texts_of_pages(spark, [("a", deep(i)) for i in range(4)]) == [f"text {i}" for i in range(4)]
+    assert texts_of_pages(spark, [("a", "<div>" * 900 + f"<b>{i}</b>") for i in range(2)]) == ["0", "1"]
+    long = "<ul>" + "".join(f"<li>item {i}</li><hr>" for i in range(5_000)) + "</ul>"
+    assert texts_of_pages(spark, [("a", f"<h1>{i}</h1>{long}") for i in range(3)])[1].count("\n\n") in (0, 5_000)
+
+
+def test_doubtful_names_inside_articles():
+    page = "<article><h1>T</h1><section id=discussion><h2>Discussion</h2><p>a</p></section><div class='share of market'>b</div><div class=notice>no</div><div class='comments clearfix'>no</div><div id=responses>c</div><div class=share>no</div></article>"
+    assert html_wrapper.main_text(page) == "T\n\nDiscussion\n\na\n\nb\n\nc"
+
+
+def test_second_layout_of_a_host_and_repeated_rows(spark):
+    one = lambda i: f"<body><div class=top>Our site</div><div class=story><h1>H{i}</h1><p>Text {i}.</p>{'<p>More.</p>' * (i % 3)}</div><div class=end>Write to us</div></body>"
+    two = lambda i: f"<body><div class=top>Our site</div><table><tr><td>Cell {i}</td><td>Other {i}</td></tr></table><div class=end>Write to us</div></body>"
+    pages = [("a", one(i)) for i in range(6)] + [("a", two(i)) for i in range(4)]
+    want = ["\n\n".join([f"H{i}", f"Text {i}.", *["More."] * (i % 3)]) for i in range(6)] + [f"Cell {i}\n\nOther {i}" for i in range(4)]
+    assert texts_of_pages(spark, pages) == want and texts_of_pages(spark, pages * 2) == want * 2
+
+
+def places(page, above=()):
+    """(path of tags with marks, text, number) of each text."""
+    for node in page:
+        if node[0] == "x":
+            yield above, node[1], node[2]
+        else:
+            yield from places(node[3], (*above, node[1]))
+
+
+def test_texts_of_the_site_are_those_of_all_pages():
+    """On pages made from one template without repeated places: a text is the site's if it stands at its path on every page."""
+    r = random.Random(3)
+    for _ in range(60):
+        tags, maker = ["div", "p", "section", "h2"], iter(range(10_000))
+
+        def template(depth):
+            return [(f"{r.choice(tags)} class=k{next(maker)}", r.choice(["fixed", "slot", "optional"]), f"t{next(maker)}", template(depth - 1) if depth else []) for _ in range(r.randint(1, 4))]
+
+        def page(nodes, i):
+            out = ""
+            for tag, kind, text, inner in nodes:
+                if kind == "optional" and (i + len(text)) % 2:
+                    continue
+                out += f"<{tag}>{text if kind != 'slot' else f'{text} {i}'}{page(inner, i)}</{tag.split()[0]}>"
+            return out
+
+        made = template(2)
+        pages = [page(made, i) for i in range(5)]
+        wrapper = None
+        for x in pages:
+            wrapper = html_wrapper.shape(x) if wrapper is None else html_wrapper.align(wrapper, html_wrapper.shape(x))
+        everywhere = set.intersection(*({(a, t) for a, t, _ in places(html_wrapper.tree(x))} for x in pages))
+        for x in pages:
+            nodes = html_wrapper.tree(x)
+            assert html_wrapper.texts_of_site(wrapper, nodes) == {n for a, t, n in places(nodes) if (a, t) in everywhere}
+
+
 def test_articles_of_the_tables(spark):
     for x in Q.op10_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet"), "page_id").collect():
         import html as h
