@@ -1,17 +1,19 @@
 """Order MinHash: fingerprints whose likeness follows edit distance.
 
-A text's k-mers of words (characters for texts of few words) are numbered by occurrence. Each of `hashes` functions picks
+A text's k-mers of words (a text of one word: that word) are numbered by occurrence. Each of `hashes` functions picks
 the `picks` numbered k-mers of least value, puts them in the order of the text and hashes the tuple; a fingerprint is the
 list of these hashes, and the likeness of two is the share of equal places. Moving a passage changes tuples that span it,
 which plain MinHash would not see.
 
-Documents are laid out by range of id, so that a document's successor is the next row of its partition; the first row of
-each range is also sent to the range before it. A range's size is set by quantiles of the ids; each text is shuffled once.
+Documents are laid out by range of (id, digest of the text, place), so that a document's successor is the next row of its
+partition; the first row of each range is also sent to the range before it. Bounds come from a sample of keys of fixed size a
+range and are broadcast, as are the ranges' first rows: nothing of them is in the plan. Rows of one id, or without id, are split like
+any others. Each text is shuffled once.
 
-Defined results: a null text counts as empty; an empty text's fingerprint is that of no k-mers and is like other empty
-texts only; equal texts have equal fingerprints; repeated rows and equal ids are ordered by text and each is the next of
-the one before it; a null id comes before all; a table of one row is its own successor; other columns are left out;
-empty tables give empty results.
+Defined results: a null text counts as empty; a text without words has the fingerprint of no k-mers and is like other such
+texts only; equal texts have equal fingerprints, as have texts that differ in white space or the case of A-Z alone; repeated
+rows and equal ids are ordered by the MD5 of their texts and each is the next of the one before it; a null id comes
+before all; a table of one row is its own successor; other columns are left out; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,8 @@ from .common import id_and_text
 from .neardup import _P1, mix, word_hashes
 
 HASHES, PICKS, WORDS = 64, 2, 2
-#: Fewer words than this: k-mers are of characters.
-FEW = 8
+#: Keys that are sampled for each range.
+SAMPLED = 20
 #: Values held at once while choosing; bounds memory for very long texts.
 AT_ONCE = 2_000_000
 _SEEDS = np.frombuffer(hashlib.blake2b(b"order minhash", digest_size=64).digest() * HASHES, np.uint64)[:HASHES] + np.arange(HASHES, dtype=np.uint64) * _P1
@@ -52,16 +55,11 @@ def numbered(h: np.ndarray, k: int) -> np.ndarray:
     return mix(x + occurrence * _P1)
 
 
-def fingerprint(text: str, words: np.ndarray) -> np.ndarray:
+def fingerprint(words: np.ndarray) -> np.ndarray:
     """The tuple hashes of a text, given the hashes of its words."""
-    if len(words) < FEW:
-        h = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
-        k = min(4, len(h))
-    else:
-        h, k = words, WORDS
-    if not len(h):
+    if not len(words):
         return np.zeros(HASHES, np.uint32)
-    x = numbered(mix(h), k)
+    x = numbered(mix(words), min(WORDS, len(words)))
     low = (x >> np.uint64(32)).astype(np.uint32)
     picked = np.empty((HASHES, min(PICKS, len(x))), np.int64)
     step = max(1, AT_ONCE // len(x))
@@ -80,7 +78,7 @@ def fingerprint(text: str, words: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    return [fingerprint(t, w) for t, w in zip(texts, word_hashes(texts))]
+    return [*map(fingerprint, word_hashes(texts))]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -97,41 +95,56 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+#: The order of documents: those without id first, then by id, digest of the text, and place.
+KEY = ["__has", "__id", "__md5", "__place"]
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"__has": F.col("__id").isNotNull(), "__md5": F.md5(F.encode("__text", "UTF-8")), "__place": F.monotonically_increasing_id()})
+
+
+def _as_tuple(row) -> tuple:
+    return bool(row[0]), 0 if row[1] is None else row[1], row[2], row[3]
+
+
 def ranges(rows: DataFrame, parts: int) -> DataFrame:
-    """rows with __range, the range of ids that each is in; null ids are in the first."""
-    bounds = rows.where("__id is not null").approxQuantile("__id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    if not bounds:
-        return rows.withColumn("__range", F.lit(0))
-    found = F.lit(0)
-    if len(bounds) <= 64:
-        for i, b in enumerate(bounds):
-            found = F.when(F.col("__id") >= b, i + 1).otherwise(found)
-    else:  # binary search over an array literal would be interpreted; array positions do
-        found = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("__id")))
-    return rows.withColumn("__range", F.when(F.col("__id").isNull(), 0).otherwise(found))
+    """rows, keyed, with __range, the range of keys that each is in. The bounds are quantiles of a sample; what they are bears on the
+    balance alone."""
+    n = rows.count()
+    share = min(1.0, SAMPLED * parts / max(1, n))
+    sample = sorted(map(_as_tuple, rows.sample(fraction=share, seed=7).select(*KEY).collect())) if parts > 1 else []
+    bounds = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
+    shared = rows.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def range_of(has: pd.Series, ids: pd.Series, md5: pd.Series, place: pd.Series) -> pd.Series:
+        from bisect import bisect_right
+
+        keys = zip(has.tolist(), ids.tolist(), md5.tolist(), place.tolist())
+        return pd.Series([bisect_right(shared.value, k) for k in keys], dtype="int32")
+
+    return rows.withColumn("__range", range_of("__has", F.coalesce("__id", F.lit(0).cast("long")), "__md5", "__place"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """For each document: its fingerprint, that of its edited text, and how like they and the next document's are."""
     spark = docs.sparkSession
-    rows = id_and_text(docs, id_col, text_col)
+    rows = keyed(id_and_text(docs, id_col, text_col))
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = ranges(rows, parts)
-    heads = {r["__range"]: r["__id"] for r in rows.groupBy("__range").agg(F.min(F.struct(F.col("__id").isNotNull(), "__id"))["__id"].alias("__id")).collect()}  # a row for each range
+    heads = rows.groupBy("__range").agg(F.min(F.struct(*KEY)).alias("k")).collect()  # a row for each range
     fields = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not heads:
         return spark.createDataFrame([], fields).withColumnRenamed("id", id_col)
-    order = sorted(heads)
-    before = {r: order[i - 1] for i, r in enumerate(order)}  # the first range's head follows the last range
-    wanted = F.lit(False)
-    ids = [i for i in heads.values() if i is not None]
-    wanted = F.col("__id").isin(ids)
-    if None in heads.values():
-        wanted = wanted | F.col("__id").isNull()
-    target = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    first = rows.where(wanted).groupBy("__range", "__id").agg(F.min("__text").alias("__text")).select("__id", "__text", target[F.col("__range")].alias("__range"), F.lit(1).alias("__tail"))
-    laid = rows.withColumn("__tail", F.lit(0)).unionByName(first).repartitionById(max(order) + 1, F.col("__range")).sortWithinPartitions("__range", "__tail", F.col("__id").asc_nulls_first(), "__text")
+    first_of = {r["__range"]: r["k"] for r in heads}
+    order = sorted(first_of)
+    # the first range's head follows the last range; a head is known by its id and digest, which rows of equal texts share
+    targets = [(order[i - 1], bool(first_of[r][0]), first_of[r][1], first_of[r][2]) for i, r in enumerate(order)]
+    targets = F.broadcast(spark.createDataFrame(targets, "__target int, __t_has boolean, __t_id long, __t_md5 string"))
+    same = (F.col("__md5") == F.col("__t_md5")) & (F.col("__has") == F.col("__t_has")) & F.col("__id").eqNullSafe(F.col("__t_id"))
+    first = rows.join(targets, same).select("__target", "__text").dropDuplicates(["__target"])
+    first = first.select(F.lit(None).cast("long").alias("__id"), "__text", F.lit(True).alias("__has"), F.lit("").alias("__md5"), F.lit(0).cast("long").alias("__place"), F.col("__target").alias("__range"), F.lit(1).alias("__tail"))
+    laid = rows.withColumn("__tail", F.lit(0)).unionByName(first).repartitionById(max(order) + 1, F.col("__range")).sortWithinPartitions("__range", "__tail", *[F.col(c).asc_nulls_first() for c in KEY])
     laid = laid.select("__range", "__tail", "__id", "__text")
     schema = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
