@@ -6,15 +6,17 @@ alignment: the first page is the first wrapper; each further page is aligned wit
 mismatch a repeated group if the extra tokens repeat what stands beside them, else an optional group. Wrappers are made
 per partition and host, then merged by the same alignment in bounded groups, level by level, so that no task gets all pages of a host.
 
-Extraction: the main region is <article> or <main> where a page has one; else the whole page, so
-that no headline or part of an article is lost for the container it lies in. Within it, and whatever the wrapper says, menus, headers and footers of the page,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role, id and class. Texts that
-the wrapper holds fixed in their place on every page of the host are left out too, also in the main region: what stays is what the
-wrapper has in slots, optional and repeated groups. A host needs pages of DIFFERENT different texts for that.
+Extraction: each page is matched with its host's wrapper, node by node, as a regular expression is: elements by tag, id and class,
+optional and repeated groups as often as they come. A text that stands where the wrapper has a fixed text is the site's; what
+stands in slots, in optional and repeated groups whose text differs, or where nothing matches, is the page's. A block all of
+whose text is the site's is left out, also in an article. A host needs pages of DIFFERENT different texts for that.
+Of the rest, the main region is <article> or <main> where a page has one, else the whole page, so that no headline or part
+of an article is lost for the container it lies in. What differs from page to page and still is no main text (menus of the
+page, adverts, comments) no wrapper can tell: it is left out by tag, role, id and class.
 
 Defined results: a null page counts as empty and gives an empty text; a page that stops early gives what it has; repeated
 rows are extracted each; a null or malformed URL makes a host of its own kind, the empty one; other columns are left out;
-empty tables give empty results.
+empty tables give empty results. Elements nested more than DEPTH deep count, for the wrapper alone, as children of the one at that depth.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import hashlib
 import html as _html
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,11 +38,13 @@ from .common import by_rows
 LONGEST = 3000
 #: Wrappers merged in one task.
 FAN_IN = 64
+#: Levels of elements that a wrapper tells apart.
+DEPTH = 150
 #: Pages of different texts that a host must have before a text counts as fixed; so many digests of pages are kept for a host.
 DIFFERENT = 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -52,6 +57,8 @@ _WORD = (
     r"|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bars?|footers?|site-?header|page-?header|masthead|topbar|toolbar|widgets?|related|recommended|share|sharing|social|follow-?us|comments?|commentlist|responses|replies|discussion|disqus|pagination|pager|skip-?links?|toc)"
 )
 _BAD_NAME = re.compile(rf"(?:(?:site|page|main|left|right|top|bottom|primary|secondary)[_-])*{_WORD}(?:[_-](?:{_WORD}|box|bar|list|area|section|block|links|posts))*(?:[_-]?[0-9]+)?")
+#: Words of the list that also name parts of articles: within one, they count as the whole class of an element, and not as its id.
+_DOUBTFUL = re.compile(r"share|sharing|notices?|alerts?|related|recommended|social|toc|overlays?|promos?|promotions?|discussion|responses|replies|banners?|widgets?")
 #: Start tags that end an open element of the same list, up to the nearest of its parents.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS_END_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -102,20 +109,30 @@ def _bad_name(name: str, attributes: str, parents: list[str]) -> bool:
     """Whether a class or the id is one of the list. Never of the page or its article; an article in an article is a comment or the like."""
     if not attributes or name in ("html", "body", "main") or name == "article" and "article" not in parents:
         return False
-    return any(_BAD_NAME.fullmatch(w) for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id") for w in v.strip("\"'").lower().split())
+    inside = "article" in parents or "main" in parents
+    for key, value in _ATTRIBUTE.findall(attributes):
+        if (key := key.lower()) in ("class", "id"):
+            words = value.strip("\"'").lower().split()
+            for w in filter(_BAD_NAME.fullmatch, words):
+                if not (inside and _DOUBTFUL.fullmatch(w)) or key == "class" and len(words) == 1:
+                    return True
+    return False
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, main, left out) of each block of text: text between block tags, its white space folded."""
+def blocks(page: str | list, of_site: frozenset[int] | set[int] = frozenset()) -> list[tuple[str, str, bool, bool]]:
+    """(path, text, main, left out) of each block of text: text between block tags, its white space folded. of_site: which of the
+    page's texts are the site's; a block of nothing else is left out."""
     stack: list[list] = []  # name, left out, left out by its name, 2 if it holds a <main>, 1 if an <article>
     out: list[tuple[str, str, bool, list]] = []
     piece: list[str] = []
-    seen_body = False
+    number, own, sites = -1, False, False
 
     def flush() -> None:
+        nonlocal own, sites
         text = _SPACE.sub(" ", _html.unescape("".join(piece))).strip()
         piece.clear()
-        if text:
+        dropped, own, sites = sites and not own, False, False
+        if text and not dropped:
             names = [s[0] for s in stack if s[0] not in INLINE]
             out.append(("/".join(names), text, "article" in names or "main" in names, [*stack]))
 
@@ -125,9 +142,15 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             if top == name:
                 return
 
-    for kind, name, value in tokens(page):
+    for kind, name, value in tokens(page) if isinstance(page, str) else page:
         if kind == "text":
             piece.append(value)
+            if not value.isspace():
+                number += 1
+                if number in of_site:
+                    sites = True
+                else:
+                    own = True
             continue
         if name == "br":
             piece.append(" ")
@@ -185,34 +208,30 @@ def _key_of(mark: str) -> str:
     return mark if len(mark) <= 100 else f"{mark.partition('.')[0]}.{hashlib.blake2b(mark.encode('utf-8', 'replace'), digest_size=16).hexdigest()}"
 
 
-def shape(page: str, seen=None) -> list:
-    """A page as a wrapper of itself: its elements and texts, with neighbouring repeats folded. seen, a hash, takes in every text."""
+def tree(page: str | list, seen=None) -> list:
+    """The page's elements ["e", key, "1", children] and texts ["x", text, number]. seen, a hash, takes in every text."""
     root: list = []
     stack: list[tuple[str, list]] = [("", root)]
-
-    def close_to(depth: int) -> None:
-        while len(stack) > depth:
-            _, children = stack.pop()
-            children[:] = fold(children)
-
-    for kind, name, value in tokens(page):
-        children = stack[-1][1]
+    number = -1
+    for kind, name, value in tokens(page) if isinstance(page, str) else page:
         if kind == "text":
-            if text := _SPACE.sub(" ", value).strip():
-                children.append(["x", _short(text)])
+            if not value.isspace():
+                number += 1
+                text = _SPACE.sub(" ", value).strip()
+                stack[min(len(stack), DEPTH) - 1][1].append(["x", _short(text), number])
                 if seen is not None:
                     seen.update(f"{text}\0".encode("utf-8", "replace"))
             continue
         if kind == "close":
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
-                    close_to(i)
+                    del stack[i:]
                     break
             continue
         ends = _ENDS.get(name, set()) | ({"p"} if name in _BLOCKS_END_P else set())
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in ends:
-                close_to(i)
+                del stack[i:]
                 break
             if stack[i][0] not in INLINE:
                 break
@@ -220,11 +239,19 @@ def shape(page: str, seen=None) -> list:
         if value:
             mark = "".join("." + v.strip("\"'") for k, v in _ATTRIBUTE.findall(value) if k.lower() in ("class", "id"))
         node = ["e", _key_of(name + mark), "1", []]
-        stack[-1][1].append(node)
+        stack[min(len(stack), DEPTH) - 1][1].append(node)
         if name not in VOID:
             stack.append((name, node[3]))
-    close_to(1)
-    return fold(root)
+    return root
+
+
+def shape(page: str | list, seen=None) -> list:
+    """A page as a wrapper of itself: its tree with neighbouring repeats folded, from the leaves up."""
+    return _folded(tree(page, seen))
+
+
+def _folded(nodes: list) -> list:
+    return fold([n[:2] if n[0] == "x" else ["e", n[1], n[2], _folded(n[3])] for n in nodes])
 
 
 def _key(node: list) -> tuple:
@@ -320,6 +347,67 @@ def fixed_texts(nodes: list, path: str = "") -> set[tuple[str, str]]:
     return out
 
 
+def texts_of_site(wrapper: list, page: list) -> set[int]:
+    """Numbers of the texts of a page's tree that stand where the wrapper has the same text fixed.
+
+    Siblings are matched from left to right. Neighbours in a wrapper never have one key, so which node a sibling belongs to is
+    seen from its key: it is that of the node at hand, which repeats while it may, or of the next one that has this key.
+    """
+    out: set[int] = set()
+
+    def one(node: list, item: list, required: bool) -> None:
+        if node[0] == "e":
+            siblings(node[3], item[3], required and node[2] not in "?*")
+        elif node[0] == "x" and required and node[1] == item[1]:
+            out.add(item[2])
+
+    def fits(node: list, items: list, at: int) -> bool:
+        if node[0] == "g":
+            first = next((n for n in node[2] if n[0] in "xs" or n[-2] not in "?*"), node[2][0])
+            return any(fits(n, items, at) for n in (node[2][0], first))
+        return (items[at][0] == "x") if node[0] in "xs" else items[at][0] == "e" and items[at][1] == node[1]
+
+    def group(node: list, items: list, at: int, required: bool) -> int:
+        """The place after as many turns of the group as there are."""
+        while at < len(items) and fits(node, items, at):
+            before = at
+            at = through(node[2], items, at, required and node[1] not in "?*")
+            if at == before:
+                break
+        return at
+
+    def through(nodes: list, items: list, at: int, required: bool) -> int:
+        """The place after one turn of these nodes."""
+        for node in nodes:
+            if at >= len(items):
+                break
+            if node[0] == "g":
+                at = group(node, items, at, required)
+            elif fits(node, items, at):
+                many = node[0] in "xs" or node[2] in "+*"
+                run = at + 1
+                while many and run < len(items) and fits(node, items, run):
+                    run += 1
+                if node[0] == "e" or run == at + 1:  # several texts side by side are a slot
+                    for item in items[at:run]:
+                        one(node, item, required)
+                at = run
+        return at
+
+    def siblings(nodes: list, items: list, required: bool) -> None:
+        i = at = 0
+        while at < len(items):
+            k = next((k for k in range(i, len(nodes)) if fits(nodes[k], items, at)), None)
+            if k is None:  # nothing of the wrapper: the page's own
+                at += 1
+                continue
+            after = through(nodes[k : k + 1], items, at, required)
+            at, i = (after, k + 1) if after > at else (at + 1, i)
+
+    siblings(wrapper, page, True)
+    return out
+
+
 class Learner:
     """Wrappers of hosts, from pages one after another."""
 
@@ -354,6 +442,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     rows = pages.select(host(pages[url_col]).alias("host"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
 
     def learn(batches):
+        _deep()
         learner, nothing = Learner(), hashlib.blake2b(digest_size=16).digest()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -369,6 +458,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     def merge(key, frame):
         import pandas as pd
 
+        _deep()
         learner = Learner()
         frame = frame.sort_values(["pages", "wrapper"])
         for n, kinds, w in zip(frame["pages"], frame["kinds"], frame["wrapper"]):
@@ -383,10 +473,18 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     return parts
 
 
-def main_text(page: str, fixed: frozenset[str] = frozenset()) -> str:
-    kept = [b for b in blocks(page) if not b[3]]
+def main_text(page: str, wrapper: list | None = None) -> str:
+    """The page's main text; wrapper: that of its host, if it has one."""
+    parts = [*tokens(page)]
+    of_site = texts_of_site(wrapper, tree(parts)) if wrapper else set()
+    kept = [b for b in blocks(parts, of_site) if not b[3]]
     marked = any(m for _, _, m, _ in kept)
-    return "\n\n".join(t for p, t, m, _ in kept if (m or not marked) and (p, _short(t)) not in fixed)
+    return "\n\n".join(t for _, t, m, _ in kept if m or not marked)
+
+
+def _deep() -> None:
+    """Wrappers nest to DEPTH elements and the groups between them; Python's own limit of 1,000 calls is less."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50 * DEPTH))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -401,7 +499,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     joined = rows.join(F.broadcast(wrappers) if small <= 32_000_000 else wrappers, "__host", "left").select("__id", "__url", "__wrapper", "__html")
 
     def run(batches):
-        known: dict = {None: frozenset()}
+        known: dict = {None: None}
+        _deep()
 
         def of_rows(columns):
             texts = []
@@ -409,8 +508,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if w not in known:
                     if len(known) > 1000:
                         known.clear()
-                        known[None] = frozenset()
-                    known[w] = frozenset(fixed_texts(json.loads(w)))
+                        known[None] = None
+                    wrapper = json.loads(w)
+                    known[w] = wrapper if fixed_texts(wrapper) else None
                 texts.append(main_text(page, known[w]))
             return columns[0], columns[1], texts
 
