@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,match:string>>"
 
 
+#: Matches that are added one by one to an array.
+TOGETHER = 256
+
+
 def no_spans() -> Column:
     return F.array().cast(SPAN)
 
 
 def found(text: Column, pattern: str, kind: str, rank: int, only_if: Column | None = None, keep: Callable[[Column], Column] | None = None) -> Column:
     """All leftmost non-overlapping matches. only_if: a cheap condition without which there is none; keep: of a match,
-    whether it counts. A match that doesn't is passed over without a copy of the spans so far, so long texts with many cost little."""
+    whether it counts. Adding to an array copies it, so matches are added in groups and the groups joined: a text with very many costs
+    little more for each of them than one with few."""
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     both = F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p"))
 
@@ -34,12 +39,37 @@ def found(text: Column, pattern: str, kind: str, rank: int, only_if: Column | No
         longer = F.concat(acc["spans"], F.array(one))
         return F.struct(end.alias("at"), (longer if keep is None else F.when(keep(x["m"]), longer).otherwise(acc["spans"])).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
-    out = F.aggregate(both, start, add, lambda acc: acc["spans"])
+    def in_groups(all_of):
+        def add_group(acc, i):
+            start = F.struct(acc["at"].alias("at"), no_spans().alias("spans"))
+            made = F.aggregate(F.slice(all_of, i * TOGETHER + 1, F.lit(TOGETHER)), start, add)
+            return F.element_at(F.transform(F.array(made), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["groups"], F.array(x["spans"])).alias("groups"))), 1)
+
+        groups = F.sequence(F.lit(0), F.floor(F.size(all_of) / TOGETHER).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("groups"))
+        return F.flatten(F.aggregate(groups, start, add_group, lambda acc: acc["groups"]))
+
+    # bound once: inside the folds it would be made again for each group
+    out = F.element_at(F.transform(F.array(both), in_groups), 1)
     has = F.size(matches) > 0 if only_if is None else only_if
     return F.when(has, out).otherwise(no_spans())
 
 
+BLOCK = 4096
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, so that stretches of it are found without a walk from its start."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def stretch(blocks: Column, start: Column, n: Column) -> Column:
+    """n code points, at most BLOCK, from start (0-based) on."""
+    first = F.floor(start / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, first), F.lit("")), F.coalesce(F.get(blocks, first + 1), F.lit("")))
+    return F.substring(two, start - first * BLOCK + 1, n)
+
+
 def merged(*spans: Column) -> Column:
     return F.array_sort(reduce(F.concat, spans))
 
