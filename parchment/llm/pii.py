@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import cut_out, found, listed, merged, n_of
+from .spans import blocks_of, cut_out, found, listed, merged, n_of, stretch
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -84,12 +84,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     text = F.col("__text")
     df = df.select("*", *[found(text, rx, kind, i, hints[kind](text), _confirmed(kind)).alias(f"__{kind}") for i, (kind, rx) in enumerate(PATTERNS.items())])
     df = df.select("__id", "__text", merged(*[F.col(f"__{kind}") for kind in PATTERNS]).alias("__spans"))
+    df = df.select("*", F.when(F.size("__spans") > 0, blocks_of(text)).alias("__blocks"))
+    blocks = F.col("__blocks")
 
     def scored(s):
         around = F.concat(
-            F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))),
+            stretch(blocks, F.greatest(s["start"] - REACH, F.lit(0)), F.least(s["start"], F.lit(REACH))),
             F.lit(" "),
-            F.substring(text, s["end"] + 1, F.lit(REACH)),
+            stretch(blocks, s["end"], F.lit(REACH)),
         )
         score = F.lit(0.0)
         for kind in PATTERNS:
