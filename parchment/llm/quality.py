@@ -175,7 +175,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = 7) -> Trees:
-    """A model from at most `sample` labelled documents, those of least hash of id and seed. Only their statistics come to the driver."""
+    """A model from at most `sample` labelled documents, those of least hash of id and seed. Only their statistics come to the driver.
+    The limit holds for labels, before the join, and for documents after it, as an id may have many rows."""
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).select(labels[id_col].cast("long").alias("__id"), labels[label_col].cast("double").alias("__y"))
     known = known.orderBy(F.xxhash64("__id", F.lit(seed)), "__id", "__y").limit(sample)
     texts = id_and_text(docs, id_col, text_col)
@@ -188,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return by_rows(batches, of_rows, schema)
 
-    got = rows.mapInArrow(run, "id long, y double, x array<double>").toPandas().sort_values(["id", "y"], kind="stable")
+    known = rows.mapInArrow(run, "id long, y double, x array<double>").orderBy(F.xxhash64("id", F.lit(seed)), "id", "y", F.xxhash64("x")).limit(sample)
+    got = known.toPandas().sort_values(["id", "y"], kind="stable")
     if not len(got):
         return fit(np.empty((0, len(NAMES))), np.empty(0))
     return fit(np.stack(got["x"].to_list()), got["y"].to_numpy())
