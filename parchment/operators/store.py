@@ -9,6 +9,8 @@ import json
 import uuid
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,12 +84,8 @@ def percent(part: Column, whole: Column) -> Column:
 
 def float_bytes(vec: Column) -> Column:
     """A vector as 32-bit floats, the lowest byte first; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def packed(v: pd.Series) -> pd.Series:
-        import numpy as np
-
         return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
     return packed(vec.cast("array<float>"))
@@ -95,12 +93,8 @@ def float_bytes(vec: Column) -> Column:
 
 def float_array(raw: Column) -> Column:
     """The vector of float_bytes()."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def unpacked(b: pd.Series) -> pd.Series:
-        import numpy as np
-
         return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
 
     return unpacked(raw)
