@@ -30,11 +30,19 @@ def pack(lines: Column, target: int = C.CHUNK_TARGET, hard: int = C.CHUNK_HARD,
     """Texts of the chunks. A heading or page break ends a chunk; so does a line that would pass `hard`, and a sentence's end
     beyond `target`. Single lines are never cut. The array of chunks is copied only where a chunk ends."""
 
+    def shown(head):
+        parts = F.concat_ws(" > ", *[F.when(p != "", p) for p in ([head] if prefix is None else [prefix, head])])
+        return F.when(parts != "", F.concat(parts, F.lit(": "))).otherwise("")
+
+    return _packed(_kinds(lines), target, hard, least, shown)
+
+
+def _packed(kinds: Column, target: int, hard: int, least: int, shown) -> Column:
+    """pack() of lines with their kinds; shown(heading) stands before each chunk."""
+
     def flushed(chunks, cur, head):
         body = T.strip(cur)
-        parts = F.concat_ws(" > ", *[F.when(p != "", p) for p in ([head] if prefix is None else [prefix, head])])
-        full = F.when(parts != "", F.concat(parts, F.lit(": "), body)).otherwise(body)
-        return F.when(F.length(body) >= least, F.concat(chunks, F.array(full))).otherwise(chunks)
+        return F.when(F.length(body) >= least, F.concat(chunks, F.array(F.concat(shown(head), body)))).otherwise(chunks)
 
     def state(chunks, cur, head, size):
         return F.struct(chunks.alias("chunks"), cur.alias("cur"), head.alias("head"), size.cast("int").alias("size"))
@@ -54,7 +62,7 @@ def pack(lines: Column, target: int = C.CHUNK_TARGET, hard: int = C.CHUNK_HARD,
         )
 
     start = state(F.array().cast("array<string>"), F.lit(""), F.lit(""), F.lit(0))
-    return F.aggregate(_kinds(lines), start, step, lambda a: flushed(a["chunks"], a["cur"], a["head"]))
+    return F.aggregate(kinds, start, step, lambda a: flushed(a["chunks"], a["cur"], a["head"]))
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seeds_col: str | None = None, titles: bool = False) -> DataFrame:
@@ -75,6 +83,21 @@ def flat_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", F.posexplode(F.filter(cut, lambda x: F.length(x) >= least)).alias("ord", "text"))
 
 
+def sized_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target: int = 1100, hard: int = 1600, least: int = 40) -> DataFrame:
+    """(doc_id, ord, text): larger chunks that end at numbered headings only, each with "[source | heading] " before it."""
+    joined = F.regexp_replace(F.replace(F.coalesce(docs[text_col], F.lit("")), F.lit("­"), F.lit("")), rf"-[{T.SPACE}]*\n[{T.SPACE}]*", "")
+    lines = F.filter(F.transform(F.split(joined, "\n", -1), T.strip), lambda x: (x != "") & ~(x.rlike(T.CONTENTS_LINE) | x.rlike(T.HEADER_LINE) | x.rlike(T.NUMBER_LINE)))
+    heading = r"(?s)^(\p{Nd}+(?:\.\p{Nd}+){0,3})[" + T.SPACE + r"]+([A-ZÄÖÜ].{2,80})$"
+
+    def kind(x):
+        full = F.concat_ws(" ", F.regexp_extract(x, heading, 1), F.regexp_extract(x, heading, 2))
+        return F.struct(F.when(x.rlike(heading), "head").otherwise("line").alias("kind"), x.alias("line"), F.when(x.rlike(heading), full).otherwise("").alias("head"))
+
+    shown = lambda head: F.concat(F.lit("["), F.concat_ws(" | ", F.col("source"), F.when(head != "", head)), F.lit("] "))
+    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[source_col], F.lit("")).alias("source"), F.transform(lines, kind).alias("kinds"))
+    return rows.select("doc_id", F.posexplode(_packed(F.col("kinds"), target, hard, least, shown)).alias("ord", "text"))
+
+
 def screened(chunk_rows: DataFrame) -> DataFrame:
     """(source, n, bad, ratio, alpha_avg, density_avg, doc_bad): how much of each source looks broken."""
     alpha, density, broken = T.garbage_metrics(F.col("text"))

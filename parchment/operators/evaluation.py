@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment import config as C
@@ -57,3 +57,44 @@ def golden(questions: DataFrame, found: DataFrame, k: int = 5) -> DataFrame:
     low = found.where(F.col("rank") <= k).select("qid", F.lower("text").alias("low"))
     hit = questions.join(low, "qid", "left").groupBy("qid").agg(F.max(F.coalesce(F.contains("low", F.lower("expected")), F.lit(False)).cast("long")).alias("hit"))
     return hit.agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.round(F.sum("hit") / F.count("*"), 4).alias("recall"))
+
+
+def pick(questions: DataFrame, sheet: str | None = None, limit: int = 0) -> DataFrame:
+    """The questions of a sheet (of all without one), and of these the first `limit` by qid if it is more than 0."""
+    rows = questions.where(F.col("sheet") == sheet) if sheet else questions
+    return rows.orderBy("qid").limit(limit) if limit > 0 else rows
+
+
+def top_sources(found: DataFrame, most: int = 3) -> DataFrame:
+    """(qid, top_source, sources): the sources of the first `most` of found (qid, rank from 1, source), in their order."""
+    first = found.where(F.col("rank") <= most).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "source"))).alias("s"))
+    return first.select("qid", F.get("s", F.lit(0))["source"].alias("top_source"), F.transform("s", lambda x: x["source"]).alias("sources"))
+
+
+def export(results: DataFrame, questions: DataFrame, path: str, label: str, at: str, chunks: int = 0) -> str:
+    """Writes a run below path as JSON lines, in a folder eval_<at>_<label> with parts overall, sheets and details; returns it.
+    at: the time as text that sorts, such as 20250131_120000."""
+    import re
+
+    safe = re.sub(r"[^\w.-]", "_", label or "run")[:60]
+    folder = f"{path.rstrip('/')}/eval_{at}_{safe}"
+    sheets = by_sheet(results, questions)
+    sheets.write.json(f"{folder}/sheets")
+    overall(sheets).select("*", F.lit(safe).alias("label"), F.lit(chunks).alias("indexed_chunks"), F.lit(C.HIT_COVERAGE).alias("hit_coverage")).write.json(f"{folder}/overall")
+    results.join(questions.select("qid", "sheet", "question"), "qid").write.json(f"{folder}/details")
+    return folder
+
+
+SHEET = "sheet string, n long, hits long, recall double, coverage double, mrr double"
+
+
+def compare_last(spark: SparkSession, path: str) -> DataFrame:
+    """difference() of the last two exports below path by name, the largest loss first."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/eval_*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    names = sorted(x.getPath().toString() for x in found)[-2:]  # a name for each export
+    if len(names) < 2:
+        raise ValueError(f"{path} has fewer than two exports")
+    before, after = (spark.read.schema(SHEET).json(f"{name}/sheets") for name in names)
+    return difference(before, after).orderBy("delta", "sheet")

@@ -11,6 +11,8 @@ from parchment.functions.text import strip
 # What ends a turn, and the phrase of an answer without information.
 TURN_ENDS = ["<|im_end|>", "</s>", "<end_of_turn>", "<turn|>", "<|turn>", "<eos>"]
 NO_INFORMATION = r"(?iu)\s*[-–•]?\s*(?:dazu\s+)?enthalten\s+die\s+dokumente\s+keine\s+(?:konkrete\s+)?angabe[.…]*\s*$"
+#: Parts of the names of models that embed and don't write.
+EMBEDDERS = ["minilm", "e5-", "-e5", "embed", "bge", "gte-", "nomic", "sentence"]
 # End of fixed values.
 
 
@@ -78,3 +80,27 @@ def decode_rate(tokens: DataFrame, key: str, at: str, began: Column) -> DataFram
     seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
     out = tokens.groupBy(key).agg(F.count("*").alias("tokens"), F.min(seconds).alias("first"), F.max(seconds).alias("last"), F.min(F.unix_micros(began.cast("timestamp")) / 1e6).alias("began"))
     return out.where("tokens > 1").select(key, "tokens", F.round(F.col("first") - F.col("began"), 2).alias("ttft"), F.round(F.col("tokens") / F.greatest(F.lit(0.001), F.col("last") - F.col("first")), 8).alias("rate"))
+
+
+def writers(models: DataFrame, name: str = "name") -> DataFrame:
+    """The models whose names don't say that they embed, in order of name."""
+    low = F.lower(name)
+    return models.where(~F.exists(F.array(*map(F.lit, EMBEDDERS)), lambda m: F.contains(low, m))).orderBy(name)
+
+
+def choose_split(variants: DataFrame, key: str, part: str, preference: list[str], budget: int, largest: int, least: int = 100 * 1024 * 1024) -> DataFrame:
+    """(key, decoder, embedder, dtype, total, complete) of (key, part, dtype, total, largest), part being decoder, embedder or whole.
+
+    A model with a usable decoder is a split one: its embedder takes the first kind that fits what the decoder leaves of the
+    budget, and without one the model is incomplete. Others take the first usable whole model.
+    """
+    chosen = lambda which: choose_variant(variants.where(F.col(part) == which), key, preference, budget, largest, least)
+    decoder = chosen("decoder").select(key, F.col("dtype").alias("decoder"), F.col("total").alias("__of"))
+    whole = chosen("whole").select(key, F.col("dtype").alias("__whole"), F.col("total").alias("__all"))
+    rank = F.array_position(F.array(*map(F.lit, preference)), F.col("dtype"))
+    beside = variants.where(F.col(part) == "embedder").join(decoder, key).where((rank > 0) & (F.col("total") <= budget - F.col("__of")) & (F.col("largest") <= largest))
+    beside = beside.groupBy(key).agg(F.min_by("dtype", rank).alias("embedder"), F.min_by("total", rank).alias("__beside"))
+    rows = variants.select(key).distinct().join(decoder, key, "left").join(beside, key, "left").join(whole, key, "left")
+    split = F.col("decoder").isNotNull()
+    total = F.when(split, F.col("__of") + F.col("__beside")).otherwise(F.col("__all"))
+    return rows.select(key, "decoder", "embedder", F.when(~split, F.col("__whole")).alias("dtype"), total.alias("total"), total.isNotNull().alias("complete"))

@@ -83,7 +83,7 @@ GARBAGE = f"(alpha < {C.GARBAGE_ALPHA} AND density < {C.GARBAGE_DENSITY}) OR bro
 POSTINGS = f"postings AS (SELECT doc_id AS id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM (SELECT doc_id, {toks('coalesce(text, chr(32))')} AS t FROM documents)) GROUP BY ALL)"
 IDF = f"""{POSTINGS}, stats AS (SELECT count(*) AS n, sum(len({toks('coalesce(text, chr(32))')})) / count(*) AS avgdl FROM documents),
 terms AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), stats)"""
-QUESTIONS = "questions AS (SELECT item_id AS qid, list_aggregate(string_split(text, ' ')[:8], 'string_agg', ' ') AS question, text AS answer, concat('sheet', CAST(item_id % 4 AS STRING)) AS sheet FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS qid, text AS question, text AS answer, concat('sheet', CAST(item_id % 4 AS STRING)) AS sheet FROM benchmark)"
 BM25 = f"""asked AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({toks('question')}) AS term FROM questions) GROUP BY ALL),
 bm AS (SELECT qid, id, round(sum(qtf * idf * tf * {C.BM25_K1 + 1} / (tf + {C.BM25_K1} * (1 - {C.BM25_B} + {C.BM25_B} * dl / avgdl))), 6) AS score FROM postings JOIN asked USING (term) JOIN terms USING (term), stats GROUP BY ALL)"""
 #: Documents as chunks with vectors: that of the id by the number of vectors.
@@ -152,7 +152,7 @@ ORACLES: dict[str, str] = {
     "documents_overview": "SELECT source, count(*) AS chunks, count(CASE WHEN doc_id % 3 <> 0 THEN 1 END) AS embedded FROM documents GROUP BY source",
     "distinct_sources": "SELECT DISTINCT source FROM documents",
     "exact_dedup": "SELECT doc_id, sha1(text) AS doc_hash, min(doc_id) OVER (PARTITION BY text) AS first_id, doc_id <> min(doc_id) OVER (PARTITION BY text) AS duplicate FROM documents",
-    "unseen_content": "SELECT doc_id, sha1(text) AS doc_hash FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "unseen_content": "WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' neu' ELSE text END AS t FROM documents) SELECT doc_id, sha1(t) AS doc_hash FROM n WHERE t NOT IN (SELECT text FROM documents WHERE text IS NOT NULL)",
     "vector_upsert": f"""SELECT vec_id AS id, CASE WHEN vec_id % 4 = 0 THEN round(1.0 * (1 + vec_id % 5) / sqrt((1 + vec_id % 5) * (1 + vec_id % 5) + 4), 5) ELSE round(CAST(embedding[1] AS DOUBLE), 5) END AS first_value, CAST(CASE WHEN vec_id % 4 = 0 THEN 2 ELSE len(embedding) END AS INTEGER) AS size FROM embeddings""",
     "delete_source": "SELECT doc_id, source FROM documents WHERE source NOT IN ('src1', 'src2')",
     "clean_lines": f"SELECT doc_id, CAST(len(l) AS INTEGER) AS n, sha256(array_to_string(l, chr(10))) AS lines_sha256 FROM (SELECT doc_id, {LINES} AS l FROM ({STRUCTURED}))",
@@ -198,8 +198,8 @@ ORACLES: dict[str, str] = {
   t AS (SELECT conv_id, l, list_sum(list_transform(l, lambda x: length(x.content))) AS total FROM c),
   s AS (SELECT conv_id, l, CASE WHEN total <= {C.PROMPT_BUDGET} THEN total ELSE greatest({C.LEAST_CONTEXT}, {C.PROMPT_BUDGET} // len(l)) END AS share FROM t)
   SELECT conv_id, array_to_string(list_transform(l, lambda x: '[' || CASE WHEN x.source = '' THEN 'DOK' ELSE x.source END || ']' || chr(10) || x.content[:share]), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS context FROM s""",
-    "shard_chain": """WITH f AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS size FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY ALL),
-  g AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS gap FROM f WHERE l_linenumber BETWEEN 1 AND 63)
+    "shard_chain": """WITH f AS (SELECT l_orderkey, l_linenumber + CASE WHEN l_partkey % 5 = 0 THEN 8 ELSE 0 END AS number, sum(l_quantity) AS size FROM lineitem GROUP BY ALL),
+  g AS (SELECT *, number - row_number() OVER (PARTITION BY l_orderkey ORDER BY number) AS gap FROM f WHERE number BETWEEN 1 AND 63)
   SELECT l_orderkey, count(*) AS shards, sum(size) AS total, max(size) AS largest FROM g WHERE gap = 0 GROUP BY l_orderkey""",
     "decode_rate": """SELECT user_id, count(*) AS tokens, round((epoch_us(min(ts)) - epoch_us(min(date_trunc('day', ts)))) / 1e6, 2) AS ttft, round(count(*) / greatest(0.001, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 8) AS rate FROM events GROUP BY user_id HAVING count(*) > 1""",
     "choose_variant": """WITH v AS (SELECT p_brand, ['q4f16', 'q4', 'int8', 'fp16'][1 + p_partkey % 4] AS dtype, sum(p_size * 10000000) AS total, max(p_size * 10000000) AS largest FROM part GROUP BY ALL),
@@ -229,6 +229,17 @@ ORACLES: dict[str, str] = {
   SELECT new.source, CASE WHEN error IS NOT NULL THEN concat('error: ', error) WHEN trim(new.text) = '' THEN 'empty' WHEN same = new.source THEN 'unchanged' WHEN same IS NOT NULL THEN concat('duplicate of ', same) WHEN n_old IS NOT NULL THEN concat('OK, ', CAST(n AS STRING), ' chunks (version replaced, ', CAST(n_old AS STRING), ' old removed)') ELSE concat('OK, ', CAST(n AS STRING), ' chunks') END AS status
   FROM new LEFT JOIN same ON same.text = new.text LEFT JOIN has ON has.source = new.source""",
 }
+ORACLES |= {
+    "store_insert": f"WITH RECURSIVE {CHUNKS}, n AS (SELECT concat(coalesce(source, ''), '/', CAST(doc_id AS STRING)) AS source, CAST(ord AS INTEGER) AS ord, sha1(text) AS doc_hash FROM chunks) SELECT row_number() OVER (ORDER BY source, ord) AS id, source, ord, doc_hash FROM n",
+    "legacy_vectors": "SELECT vec_id, CASE WHEN vec_id % 7 <> 3 THEN CAST(len(embedding) AS INTEGER) ELSE CAST(-1 AS INTEGER) END AS size, CASE WHEN vec_id % 7 <> 3 THEN round(CAST(embedding[2] AS DOUBLE), 5) ELSE 0.0 END AS second_value FROM embeddings",
+    "redact_proposed": f"SELECT doc_id, sha256(replace(replace(text, 'Pers-Nr', '[NAME]'), 'und CHE', '[NAME]')) AS redacted_sha256, CAST(len(string_split(text, 'Pers-Nr')) + len(string_split(text, 'und CHE')) - 2 AS INTEGER) AS n FROM ({NUMBERED_DUCK})",
+    "redact_marked": "SELECT doc_id, sha256('ab  [X]  ' || coalesce(text, '')) AS redacted_sha256 FROM documents",
+    "scan_report": f"WITH RECURSIVE {SWEPT}, h AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY doc_id) SELECT doc_id, CAST(length(text) AS INTEGER) AS characters, CAST(coalesce(n, 0) AS INTEGER) AS n_hits, CAST({sum(r.active for r in PATTERNS)} AS INTEGER) AS rules_active FROM numbered LEFT JOIN h USING (doc_id)",
+    "question_pick": "SELECT item_id AS qid, concat('sheet', CAST(item_id % 4 AS STRING)) AS sheet FROM benchmark WHERE item_id % 4 = 1",
+    "top_sources": f"""WITH {IDF}, {QUESTIONS}, {BM25}, best AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 3)
+  SELECT qid, arg_min(source, rank) AS top_source, string_agg(source, ',' ORDER BY rank) AS sources FROM best JOIN documents ON doc_id = id GROUP BY qid""",
+    "writers": "SELECT p_partkey, concat('LM/', CAST(p_partkey AS STRING)) AS name FROM part WHERE p_partkey % 4 = 0",
+}
 #: Hard filters by SQL, for the queries of the same names.
 FILTERS = {
     "filter_tags": "list_contains(tags, 'frist')",

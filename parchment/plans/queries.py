@@ -54,10 +54,10 @@ def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as questions: the first eight words ask, the whole text is the model answer."""
+    """Benchmark items as questions: the whole text asks, and is the model answer."""
     vectors = table(spark, sf_dir, "embeddings")
     items = table(spark, sf_dir, "benchmark").join(F.broadcast(vectors.agg(F.count("*").alias("n"))))
-    items = items.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"), F.col("text").alias("answer"), F.concat(F.lit("sheet"), F.col("item_id") % 4).alias("sheet"), (F.col("item_id") % F.col("n")).alias("vec_id"))
+    items = items.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.col("text").alias("answer"), F.concat(F.lit("sheet"), F.col("item_id") % 4).alias("sheet"), (F.col("item_id") % F.col("n")).alias("vec_id"))
     return items.join(vectors.select("vec_id", F.col("embedding").alias("vec")), "vec_id").drop("vec_id")
 
 
@@ -87,14 +87,17 @@ def exact_dedup(spark, sf_dir):
 
 @query
 def unseen_content(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", store.content_hash(F.col("text")).alias("doc_hash"))
-    return store.unseen(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")).select("doc_id", "doc_hash")
+    """All documents arrive again, some of them changed; those stay whose content isn't known."""
+    docs, changed = table(spark, sf_dir, "documents"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" neu"))).otherwise(F.col("text"))
+    known = docs.select(store.content_hash(F.col("text")).alias("doc_hash"))
+    return store.unseen(docs.select("doc_id", store.content_hash(changed).alias("doc_hash")), known).select("doc_id", "doc_hash")
 
 
 @query
 def vector_upsert(spark, sf_dir):
     old = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    new = old.where("id % 4 = 0").select("id", F.array((1 + F.col("id") % 5).cast("double"), F.lit(2.0)).alias("vector"))
+    made = F.array((1 + F.col("id") % 5).cast("double"), F.lit(2.0))
+    new = old.select("id", F.when(F.col("id") % 4 == 0, made).when(F.col("id") % 4 == 1, F.array().cast("array<double>")).alias("vector"))
     return store.upsert_vectors(old, new).select("id", F.round(F.get("vec", F.lit(0)).cast("double"), 5).alias("first_value"), F.size("vec").alias("size"))
 
 
@@ -270,8 +273,9 @@ def context_budget(spark, sf_dir):
 
 @query
 def shard_chain(spark, sf_dir):
-    files = table(spark, sf_dir, "lineitem").where("l_partkey % 5 <> 0").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("size"))
-    return prompting.shard_chain(files, ["l_orderkey"], "l_linenumber", "size")
+    number = F.col("l_linenumber") + F.when(F.col("l_partkey") % 5 == 0, 8).otherwise(0)  # some are numbered later, which makes gaps
+    files = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", number.alias("number")).agg(F.sum("l_quantity").alias("size"))
+    return prompting.shard_chain(files, ["l_orderkey"], "number", "size")
 
 
 @query
@@ -365,6 +369,64 @@ def ingest_status(spark, sf_dir):
     return store.ingest_status(new, old)
 
 
+@query
+def store_insert(spark, sf_dir):
+    """Chunks go into a fresh store and are read back with their ids."""
+    from parchment.storage import fresh_path
+
+    at = store.Store(spark, fresh_path(spark, "store"))
+    rows = structured_chunks(spark, sf_dir).select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), "doc_id").alias("source"), "ord", "text", "tags", store.content_hash(F.col("text")).alias("doc_hash"))
+    at.add(rows)
+    return at.read().select("id", "source", "ord", "doc_hash")
+
+
+@query
+def legacy_vectors(spark, sf_dir):
+    old = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 3, "broken").otherwise(F.to_json("embedding")).alias("vec"))
+    return store.migrated(old).select("vec_id", F.coalesce(F.size("vec"), F.lit(-1)).alias("size"), F.coalesce(F.round(F.get("vec", F.lit(1)).cast("double"), 5), F.lit(0.0)).alias("second_value"))
+
+
+@query
+def redact_proposed(spark, sf_dir):
+    """A model's terms are replaced wherever they stand."""
+    text = F.col("text")
+    known = anonymise.add_terms(text, F.array(), F.array(F.lit("Pers-Nr"), F.lit("und CHE")))
+    return numbered(spark, sf_dir).select("doc_id", F.sha2(anonymise.applied(text, known), 256).alias("redacted_sha256"), F.size(known).alias("n"))
+
+
+@query
+def redact_marked(spark, sf_dir):
+    """A stretch is marked by hand, with blanks at its ends that stay; a second one that overlaps it is refused."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("ab  Wort  "), F.coalesce("text", F.lit(""))).alias("text"))
+    known = anonymise.mark(F.col("text"), F.array(), F.lit(2), F.lit(10), F.lit("[X]"))
+    known = anonymise.mark(F.col("text"), known, F.lit(0), F.lit(6), F.lit("[Y]"))
+    return rows.select("doc_id", F.sha2(anonymise.applied(F.col("text"), known), 256).alias("redacted_sha256"))
+
+
+@query
+def scan_report(spark, sf_dir):
+    rows = anonymise.report(numbered(spark, sf_dir), PATTERNS)
+    return rows.select("doc_id", "characters", "n_hits", "rules_active")
+
+
+@query
+def question_pick(spark, sf_dir):
+    return evaluation.pick(questions(spark, sf_dir), "sheet1").select("qid", "sheet")
+
+
+@query
+def top_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    best = ix.top(ix.bm25_of(_indexed_documents(spark, sf_dir), questions(spark, sf_dir)), C.TOP_K).withColumn("rank", F.col("rank") + 1).join(docs, "id")
+    return evaluation.top_sources(best).select("qid", "top_source", F.array_join("sources", ",").alias("sources"))
+
+
+@query
+def writers(spark, sf_dir):
+    marked = F.element_at(F.array(*map(F.lit, ["LM", "E5-large", "my-BGE", "Sentence"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return prompting.writers(table(spark, sf_dir, "part").select("p_partkey", F.concat(marked, F.lit("/"), "p_partkey").alias("name")))
+
+
 def _filter(name: str, text: str) -> None:
     def run(spark, sf_dir):
         rows = structured_chunks(spark, sf_dir)
@@ -394,6 +456,11 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = vectors.orderBy("vec_id").select("embedding").first()
     vec = list(first[0]) if first else None
     asked = ["the threst inha", "tags:frist binnen tagen", "source:src1 thion NOT thth", '"the th" er', "/th[ae]n/ ering -src3", "filename:src*2", "tags:schwellenwert"]
+    from parchment.storage import fresh_path
+
+    at = fresh_path(spark, "chunks")  # searched in several passes, so they are made once
+    rows.write.parquet(at)
+    rows = spark.read.schema(rows.schema).parquet(at)
     return search.search(rows, [(i, text, vec) for i, text in enumerate(asked)])
 
 

@@ -43,13 +43,23 @@ def read_folder(spark: SparkSession, path: str, skip: DataFrame | None = None) -
     return files if skip is None else files.join(F.broadcast(skip.select(F.col("source").alias("name")).distinct()), "name", "left_anti")
 
 
+def _plain_path(path: str) -> str:
+    """A path without file scheme, doubled slashes and steps up, so that what lies below a folder begins with its path."""
+    import posixpath
+    import re
+
+    scheme, place = re.match(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path, re.S).groups()
+    bare = posixpath.normpath("/" + place.lstrip("/")) if scheme in (None, "file") else f"{scheme}:{posixpath.normpath(place)}"
+    return bare.rstrip("/")
+
+
 def extract(files: DataFrame, glossary_below: str | None = None) -> DataFrame:
     """(path, name, text, seed_tags, error) of (path, name, content). Workbooks below glossary_below are read as glossaries.
     A file that can't be read has an error and no text."""
     import pandas as pd
 
     readers, known = dict(READERS), set(KNOWN)
-    glossary = None if glossary_below is None else glossary_below.rstrip("/") + "/"
+    glossary = None if glossary_below is None else _plain_path(glossary_below) + "/"
 
     def run(batches):
         for batch in batches:
@@ -57,7 +67,7 @@ def extract(files: DataFrame, glossary_below: str | None = None) -> DataFrame:
             for path, name, content in zip(batch["path"], batch["name"], batch["content"]):
                 suffix = "." + name.rpartition(".")[2].lower()
                 reader = readers.get(suffix)
-                is_glossary = glossary is not None and suffix in (".xlsx", ".xlsm") and glossary in path
+                is_glossary = glossary is not None and suffix in (".xlsx", ".xlsm") and _plain_path(path).startswith(glossary)
                 try:
                     if reader is None:
                         raise ValueError(f"no reader for {suffix}" if suffix in known else f"unknown format {suffix}")
@@ -117,9 +127,9 @@ def workbook_rows(files: DataFrame) -> DataFrame:
 
 def questions(files: DataFrame) -> DataFrame:
     """(name, qid, question, answer, topic, origin, sheet) of question workbooks: a header row that begins with "frage" is left
-    out, as are rows without question or answer and sheets that begin with _anon. qid counts through a workbook from 0."""
+    out, as are rows without question or answer. qid counts through a workbook from 0."""
     value = lambda i: F.coalesce(F.get("vals", F.lit(i)), F.lit(""))
-    rows = workbook_rows(files).where(~F.col("sheet").startswith("_anon")).select("name", "sheet_no", "sheet", "row_no", value(0).alias("question"), value(1).alias("answer"), value(2).alias("topic"), value(3).alias("origin"))
+    rows = workbook_rows(files).select("name", "sheet_no", "sheet", "row_no", value(0).alias("question"), value(1).alias("answer"), value(2).alias("topic"), value(3).alias("origin"))
     rows = rows.where(~((F.col("row_no") == 0) & F.lower("question").startswith("frage")) & (F.col("question") != "") & (F.col("answer") != ""))
     qid = F.row_number().over(Window.partitionBy("name").orderBy("sheet_no", "row_no")) - 1
     return rows.select("name", qid.alias("qid"), "question", "answer", "topic", "origin", "sheet")

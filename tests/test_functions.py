@@ -4,7 +4,7 @@ import pytest
 from parchment.functions import checks
 from parchment.functions import spans as S
 from parchment.functions import text as T
-from parchment.operators import anonymise, chunking, prompting
+from parchment.operators import anonymise, chunking, evaluation, prompting
 
 
 def one(spark, column):
@@ -99,3 +99,67 @@ def test_messages_and_variants(spark):
     assert [(m.role, m.content) for m in got] == [("system", "sys"), ("user", "hi"), ("user", "Dokumente:\n\n[a]\nb\n\n---\nFrage: wann?")]
     assert one(spark, prompting.clean_answer(F.lit("half a thought"), thinking=True)) == ""
     assert one(spark, prompting.embedding_text(F.lit("  "))) is None
+
+
+def test_hits_of_rules_models_and_hands(spark, tmp_path):
+    text = F.lit("Max Muster, max@x.ch, Bern und Bern")
+    known = anonymise.hits(text, anonymise.PATTERNS)
+    known = anonymise.add_terms(text, known, F.array(F.lit("Max"), F.lit("max"), F.lit("Bern")))
+    known = anonymise.mark(text, known, F.lit(3), F.lit(10), F.lit("[X]"))
+    known = anonymise.mark(text, known, F.lit(9), F.lit(14), F.lit("[Y]"))  # overlaps, so it is refused
+    rows = spark.range(1).select(F.lit("a.b.docx").alias("name"), known.alias("hits"), anonymise.applied(text, known).alias("text"))
+    row = rows.first()
+    assert row.text == "[NAME] [X], [MAIL], [NAME] und [NAME]" and {(h.start, h.origin) for h in row.hits} == {(0, "llm"), (4, "manuell"), (12, "muster"), (22, "llm"), (31, "llm")}
+    anonymise.write_redacted(rows, f"{tmp_path}/out")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/out/document=a.b_anon.txt").collect()] == [row.text]
+    got = anonymise.report(spark.createDataFrame([(1, "x@y.ch\r\n" + "Satz eins. " * 300), (2, None)], "doc_id long, text string"), anonymise.PATTERNS, ["w"]).orderBy("doc_id").collect()
+    assert (got[0].n_hits, got[0].rules_active, got[0].warnings, got[1].characters, got[1].n_hits) == (1, 10, ["w"], 0, 0)
+    assert got[0].windows[0].start == 0 and all(w.text.endswith(".") for w in got[0].windows[:-1]) and len(got[0].windows) > 2
+
+
+def test_window_bounds_are_those_of_plain_search():
+    import random
+
+    r = random.Random(1)
+    for _ in range(300):
+        text = "".join(r.choices([". ", "\n", "ab", ".", " "], k=r.randint(0, 60)))
+        size, overlap = r.randint(8, 30), r.randint(0, 5)
+        want, at = [], 0
+        while at < len(text):
+            end = min(at + size, len(text))
+            if end < len(text):
+                cut = max(text.rfind(m, at + size // 2, end) for m in (". ", "\n"))
+                end = cut + 1 if cut > at else end
+            want.append((at, end))
+            if end == len(text):
+                break
+            at = max(end - overlap, at + 1)
+        assert anonymise.window_bounds(text, size, overlap) == want, (text, size, overlap)
+
+
+def test_runs_are_exported_and_compared(spark, tmp_path):
+    questions = spark.createDataFrame([(i, f"q{i}", f"s{i % 2}") for i in range(4)], "qid int, question string, sheet string")
+    fields = "qid int, coverage double, hit boolean, first_rank long, terms long"
+    run = lambda hits: spark.createDataFrame([(i, 0.5, i in hits, 1, 3) for i in range(4)], fields)
+    for at, hits in (("1", {0, 1}), ("2", {0}), ("3", {0, 2, 1, 3})):
+        evaluation.export(run(hits), questions, f"file://{tmp_path}", "my run/1", at)
+    got = [tuple(r) for r in evaluation.compare_last(spark, f"file://{tmp_path}").collect()]
+    assert [(r[0], r[2], r[3], r[4]) for r in got] == [("s0", 0.5, 1.0, 0.5), ("s1", 0.0, 1.0, 1.0)] and (tmp_path / "eval_3_my_run_1" / "details").exists()
+    assert [r.qid for r in evaluation.pick(questions, "s1", 1).collect()] == [1] and evaluation.pick(questions).count() == 4
+    found = spark.createDataFrame([(1, r, f"d{r}") for r in (4, 2, 1, 3)], "qid int, rank int, source string")
+    assert [tuple(r) for r in evaluation.top_sources(found).collect()] == [(1, "d1", ["d1", "d2", "d3"])]
+
+
+def test_models_and_their_parts(spark):
+    names = spark.createDataFrame([("Llama",), ("bge-m3",), ("multilingual-e5-large",), ("Gemma",)], "name string")
+    assert [r.name for r in prompting.writers(names).collect()] == ["Gemma", "Llama"]
+    big = 200 * 1024 * 1024
+    rows = [("split", "decoder", "q4", big, 1), ("split", "embedder", "q4", 900 * big, 1), ("split", "embedder", "int8", 5, 1), ("broken", "decoder", "q4", big, 1), ("plain", "whole", "q4", 7, 1), ("plain", "whole", "int8", big, 1), ("none", "whole", "q4", 7, 1)]
+    got = prompting.choose_split(spark.createDataFrame(rows, "m string, part string, dtype string, total long, largest long"), "m", "part", ["q4", "int8"], 2 * big, 10).collect()
+    assert {r.m: (r.decoder, r.embedder, r.dtype, r.total, r.complete) for r in got} == {"split": ("q4", "int8", None, big + 5, True), "broken": ("q4", None, None, None, False), "plain": (None, None, "int8", big, True), "none": (None, None, None, None, False)}
+
+
+def test_larger_chunks_with_their_source(spark):
+    text = "1 Einleitung\n" + "Ein Satz der Einleitung steht hier.\n" * 40 + "MS ID/Ver 1\n12\n2.1 Zweiter Teil\nKurzer Text des zweiten Teils ist dies hier.\n"
+    got = [r.text for r in chunking.sized_chunks(spark.createDataFrame([(1, text, "doc")], "doc_id long, text string, source string")).orderBy("ord").collect()]
+    assert got[0].startswith("[doc | 1 Einleitung] 1 Einleitung Ein Satz") and len(got[0]) >= 1100 and got[-1] == "[doc | 2.1 Zweiter Teil] 2.1 Zweiter Teil Kurzer Text des zweiten Teils ist dies hier."

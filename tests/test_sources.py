@@ -3,6 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from parchment.operators import store as store_ops
 from parchment.operators.store import Store
 from parchment.sources import folder, office, plain
 from parchment.streaming.ingest import answers, ingest
@@ -51,6 +52,36 @@ def test_plain_formats():
     assert plain.mail(mail).split("\n")[:3] == ["## Mail von Max Muster", "From: Max Muster <m@x.example>", "To: a@b.example"] and "Guten  Tag" in plain.mail(mail)
 
 
+def test_glossaries_lie_below_their_folder(spark):
+    files = spark.createDataFrame([(p, "g.xlsx", bytearray(BOOK)) for p in ("file:/x/eval/g.xlsx", "/x//eval/deep/g.xlsx", "/y/x/eval/g.xlsx", "/x/eval2/g.xlsx", "/x/eval/../g.xlsx")], "path string, name string, content binary")
+    assert [r.seed_tags for r in folder.extract(files, "file:///x/eval/").collect()] == [["glossar"], ["glossar"], [], [], []]
+
+
+def test_senders_and_bodies():
+    assert [*map(plain.sender, ['"Muster, Max" <m@x>', "Muster, Max <m@x>", "<a.b@x>", "=?utf-8?Q?J=C3=BCrg?= <j@x>", "max.m@x", "niemand", "", None])] == ["Muster, Max", "Muster, Max", "a b", "Jürg", "max m", "niemand", "", ""]
+    parts = b"Content-Type: multipart/alternative; boundary=q\r\n\r\n--q\r\nContent-Type: text/html\r\n\r\n<b>no</b>\r\n--q\r\nContent-Type: text/plain\r\n\r\nplain text\r\n--q--\r\n"
+    assert plain.mail(parts).strip() == "plain text"
+    assert plain.delimited(b"x y z\nonly text\n") == "x y z\nonly text" and plain.delimited(b'a\t"b\tc"\nd\te\n') == "a | b\tc\nd | e"
+
+
+def test_status_of_new_files(spark):
+    fields = "source string, text string, error string, n_chunks int, bad int"
+    new = spark.createDataFrame([("a", "x", None, 10, 4), ("b", "y", None, 40, 5), ("c", "z", None, 3, 0), ("d", None, "no", 0, 0)], fields)
+    old = spark.createDataFrame([("c", "h"), ("b", "k"), ("b", "l")], "source string, doc_hash string")
+    status = lambda **how: {r.source: r.status for r in store_ops.ingest_status(new, old, **how).collect()}
+    assert status() == {"a": "OK, 10 chunks · check: 4/10 broken (40%)", "b": "OK, 40 chunks (version replaced, 2 old removed) · check: 5/40 broken (12%)", "c": "OK, 3 chunks (version replaced, 1 old removed)", "d": "error: no"}
+    strict = status(skip_known=True, reject=True)
+    assert strict["a"] == "rejected: 40% broken" and strict["b"] == strict["c"] == "already indexed"
+    assert status(reject=True)["b"].startswith("OK, 35 chunks (version replaced, 2 old removed) (5 left out as broken)")
+
+
+def test_vectors_as_bytes(spark):
+    rows = spark.createDataFrame([(1, [1.0, -2.5]), (2, None), (3, [])], "id long, vec array<float>")
+    raw = rows.select("id", store_ops.float_bytes(F.col("vec")).alias("b"))
+    assert {r.id: r.b and bytes(r.b) for r in raw.collect()} == {1: b"\x00\x00\x80?\x00\x00 \xc0", 2: None, 3: b""}
+    assert [tuple(r) for r in raw.select("id", store_ops.float_array(F.col("b"))).orderBy("id").collect()] == [(1, [1.0, -2.5]), (2, None), (3, [])]
+
+
 def test_folder_to_store(spark, tmp_path):
     files = tmp_path / "in"
     (files / "eval").mkdir(parents=True)
@@ -61,7 +92,7 @@ def test_folder_to_store(spark, tmp_path):
     (files / "c.docx").write_bytes(b"no archive")
     (files / "d.pdf").write_bytes(b"%PDF")
     (files / "eval" / "g.xlsx").write_bytes(BOOK)
-    texts = folder.extract(folder.read_folder(spark, str(files)), "/eval")
+    texts = folder.extract(folder.read_folder(spark, str(files)), f"{files}/eval")
     errors = {r.name: r.error for r in texts.collect()}
     assert set(errors) == {"a.txt", "copy.txt", "b.md", "c.docx", "d.pdf", "g.xlsx"} and {k for k, v in errors.items() if v} == {"c.docx", "d.pdf"}
     store = Store(spark, str(tmp_path / "store"))
@@ -114,7 +145,7 @@ def test_store_keeps_segments_and_forgets_old_ones(spark, tmp_path):
 def test_workbooks(spark):
     files = spark.createDataFrame([("k.xlsx", bytearray(BOOK))], "name string, content binary")
     got = [(r.qid, r.question, r.sheet) for r in folder.questions(files).orderBy("qid").collect()]
-    assert got == [(0, "Was ist X?", "A"), (1, "Wozu?", "A"), (2, "q", "_mess")]
+    assert got == [(0, "Was ist X?", "A"), (1, "Wozu?", "A"), (2, "q", "_mess"), (3, "Begriff", "_anon")]
     assert folder.term_rules(files) == [("Rom", "wort", "[ORT]")]
 
 
