@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Code points that are set aside for a program's own use and stand for no character.
+BEFORE, AFTER = "\ufdd0", "\ufdd1"
 SPANS = "array<struct<start:int,end:int,rank:int,text:string>>"
 
 
 def pattern_spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
     """All leftmost non-overlapping matches that keep(match) allows. The pattern must not match the empty string."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return _placed(F.split(text, pattern, -1), found, rank, keep)
+    twice = _placed(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rank, keep)
+
+    def cut(parts):
+        rest = F.slice(parts, 2, F.size(parts))
+        pieces = F.concat(F.slice(parts, 1, 1), F.transform(rest, lambda x: F.substring_index(x, AFTER, -1)))
+        return _placed(pieces, F.transform(rest, lambda x: F.substring_index(x, AFTER, 1)), rank, keep)
+
+    # one search: matches are put between two marks that no text should hold, then cut out; texts that do hold one are searched twice
+    once = F.element_at(F.transform(F.array(F.split(F.regexp_replace(text, pattern, f"{BEFORE}$0{AFTER}"), BEFORE, -1)), cut), 1)
+    return F.when(F.contains(text, F.lit(BEFORE)) | F.contains(text, F.lit(AFTER)), twice).otherwise(once)
 
 
 def literal_spans(text: Column, term: Column, rank: int = 0) -> Column:

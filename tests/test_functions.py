@@ -163,3 +163,9 @@ def test_larger_chunks_with_their_source(spark):
     text = "1 Einleitung\n" + "Ein Satz der Einleitung steht hier.\n" * 40 + "MS ID/Ver 1\n12\n2.1 Zweiter Teil\nKurzer Text des zweiten Teils ist dies hier.\n"
     got = [r.text for r in chunking.sized_chunks(spark.createDataFrame([(1, text, "doc")], "doc_id long, text string, source string")).orderBy("ord").collect()]
     assert got[0].startswith("[doc | 1 Einleitung] 1 Einleitung Ein Satz") and len(got[0]) >= 1100 and got[-1] == "[doc | 2.1 Zweiter Teil] 2.1 Zweiter Teil Kurzer Text des zweiten Teils ist dies hier."
+
+
+def test_spans_of_texts_that_hold_the_marks(spark):
+    texts = ["ab 12 ﷐ 34 x", "12﷑", "", "no digits", "1😀22"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", S.pattern_spans(F.col("t"), r"\d+", 3).alias("s")).orderBy("i").collect()
+    assert [[(s.start, s.end, s.text) for s in r.s] for r in rows] == [[(3, 5, "12"), (8, 10, "34")], [(0, 2, "12")], [], [], [(0, 1, "1"), (2, 4, "22")]]
