@@ -580,3 +580,14 @@ def test_articles_of_the_tables(spark):
         body = re.search(r"<article>(.*?)(?:</article>|$)", x.html, re.S)[1]
         blocks = [re.sub(r"\s+", " ", h.unescape(re.sub("<[^>]+>", "", re.sub("<br>", " ", b)))).strip() for b in re.split(r"</?(?:h1|p)>", body)]
         assert x.text == "\n\n".join(filter(None, blocks)) and x.n_chars == len(x.text)
+
+
+# ---- columns whose names clash -------------------------------------------------------------------------------------
+def test_clashing_columns_change_nothing(spark):
+    wide, bare = odd(spark), odd(spark).select("doc_id", "text")
+    wide = wide.withColumns({"__row": F.lit("r"), "__spans": F.lit(1), "match": F.lit("m"), "n_bytes": F.lit(2), "ids": F.lit("i"), "html": F.lit("h")})
+    digests = lambda df: [secret_scan.digest(secret_scan.find_secrets(df)), pii.digest(pii.find_pii(df)), token_count.count_tokens(df), piece_codec.with_digests(piece_codec.encode_pieces(df))]
+    for a, b in zip(digests(wide), digests(bare)):
+        assert a.columns == b.columns and Counter(map(str, a.collect())) == Counter(map(str, b.collect()))
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", f"<h1>t{i}</h1><p>same</p>", "x", "y") for i in (1, 1, 2, 3)], "page_id long, url string, html string, host string, __wrapper string")
+    assert sorted((x.page_id, x.text) for x in html_wrapper.extract(pages).collect()) == [(1, "t1"), (1, "t1"), (2, "t2"), (3, "t3")]

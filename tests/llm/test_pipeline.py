@@ -37,3 +37,22 @@ def test_stages(spark):
     whole = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert {i: list(r.ids) for i, r in whole.items()} == {i: list(r.ids) for i, r in rows["pieces"].items()}
     assert re.fullmatch("[0-9a-f]{64}", next(iter(whole.values())).decoded_sha256)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    fields = "doc_id long, text string, lang string, source string, n_chars long, __text string"
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(30).collect()]
+    rows = [(i, t, "en", "s", len(t), "x") for i, t in enumerate(good)] + [(3, good[3], "en", "s", 0, "x"), (4, good[9], None, None, None, None), (None, good[5], None, None, None, None), (77, None, None, None, None, None), (78, "", "en", "s", 0, "x"), (79, "word " * 50_000, "en", "s", 250_000, "x")]
+    for name, some in (("odd", rows), ("empty", [])):
+        at = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(some, fields).write.parquet(f"{at}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{at}/{table}.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            before = docs.count()
+            docs = f(spark, docs, at).persist()
+            assert docs.columns == fields.replace(" long", "").replace(" string", "").split(", ") and docs.count() <= before, stage
+        kept = {(r.doc_id, r.text) for r in docs.collect()}
+        assert len(kept) == docs.count() and docs.where("doc_id is null").count() <= 1
+        assert corpus_pipeline.run(spark, at).count() == docs.count()
