@@ -52,6 +52,25 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+# The golden set, questions with what an answer has to hold.
+GOLDEN = [
+    ("Wie oft fuehrt die MAA eine Betriebspruefung durch?", "24 Monate"),
+    ("Welches KESO-Produkt hat Patentschutz bis 2044?", "8000-Omega-3"),
+    ("Was kostet ein ZUKO XXI Zutrittspunkt?", "20'000"),
+    ("Welche Risikostufe gilt fuer Risikoindex 9 bis 14?", "Low"),
+    ("Innerhalb welcher Frist sind Maengel der MAA zu melden?", "72 Stunden"),
+    ("Welche ISO-Norm legitimiert das Ideenmanagement?", "9001"),
+    ("Welche Widerstandsklasse muss ein Schluesselrohr mindestens haben?", "RC 3"),
+    ("Was bedeutet die Abkuerzung VS?", "Verantwortliche Stelle"),
+]
+# End of fixed values.
+
+
+def golden_set(spark: SparkSession) -> DataFrame:
+    """(qid, question, expected) of the golden set; qid counts from 0."""
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(GOLDEN)], "qid long, question string, expected string")
+
+
 def golden(questions: DataFrame, found: DataFrame, k: int = 5) -> DataFrame:
     """One row: questions (qid, expected) whose expected text is in one of the first k found, and their share."""
     low = found.where(F.col("rank") <= k).select("qid", F.lower("text").alias("low"))

@@ -1,7 +1,7 @@
 """Files of a folder, or given bytes, as rows of text.
 
 Reading is Spark's binaryFile source, so files are split over tasks and names can be filtered before any content is read.
-Formats that need a parser run in one Arrow pass; register() adds others, such as PDF or MSG, whose parsers are not here.
+Formats that need a parser run in one Arrow pass; register() adds others or replaces one.
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ from parchment.config import PAGE_BREAK
 from parchment.functions import text as T
 from parchment.operators import chunking, store
 
-from . import office, plain
+from . import office, outlook, pdf, plain
 
 #: Readers by suffix, from bytes to text.
 READERS: dict[str, Callable[[bytes], str]] = {
     ".docx": office.docx, ".xlsx": office.xlsx, ".xlsm": office.xlsx, ".pptx": office.pptx, ".csv": plain.delimited, ".txt": plain.decoded,
-    ".md": plain.decoded, ".markdown": plain.decoded, ".eml": plain.mail,
+    ".md": plain.decoded, ".markdown": plain.decoded, ".eml": plain.mail, ".msg": outlook.message, ".pdf": pdf.pdf,
 }
-#: Suffixes that are known but have a reader only once one is registered.
-KNOWN = {*READERS, ".pdf", ".msg"}
+#: Suffixes that a folder scan reads.
+KNOWN = set(READERS)
 #: The tag of every chunk of a glossary.
 GLOSSARY_TAG = "glossar"
 
