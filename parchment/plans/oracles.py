@@ -5,6 +5,7 @@ from __future__ import annotations
 from parchment import config as C
 from parchment.functions import text as T
 from parchment.operators.anonymise import PATTERNS
+from parchment.operators.evaluation import GOLDEN
 
 
 def q(s: str) -> str:
@@ -84,6 +85,7 @@ POSTINGS = f"postings AS (SELECT doc_id AS id, dl, term, count(*) AS tf FROM (SE
 IDF = f"""{POSTINGS}, stats AS (SELECT count(*) AS n, sum(len({toks('coalesce(text, chr(32))')})) / count(*) AS avgdl FROM documents),
 terms AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), stats)"""
 QUESTIONS = "questions AS (SELECT item_id AS qid, text AS question, text AS answer, concat('sheet', CAST(item_id % 4 AS STRING)) AS sheet FROM benchmark)"
+GOLDEN_SET = "questions AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}', '{x.replace(chr(39), chr(39) * 2)}')" for i, (q, x) in enumerate(GOLDEN)) + ") AS v(qid, question, expected))"
 BM25 = f"""asked AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({toks('question')}) AS term FROM questions) GROUP BY ALL),
 bm AS (SELECT qid, id, round(sum(qtf * idf * tf * {C.BM25_K1 + 1} / (tf + {C.BM25_K1} * (1 - {C.BM25_B} + {C.BM25_B} * dl / avgdl))), 6) AS score FROM postings JOIN asked USING (term) JOIN terms USING (term), stats GROUP BY ALL)"""
 #: Documents as chunks with vectors: that of the id by the number of vectors.
@@ -177,6 +179,12 @@ ORACLES: dict[str, str] = {
     "golden_recall": f"""WITH {IDF}, {QUESTIONS}, {BM25}, best AS (SELECT qid, id FROM bm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5),
   h AS (SELECT q.qid, max(CAST(coalesce(contains(lower(d.text), lower(string_split(q.answer, ' ')[3])), false) AS BIGINT)) AS hit FROM questions q LEFT JOIN best USING (qid) LEFT JOIN documents d ON d.doc_id = best.id GROUP BY q.qid)
   SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(sum(hit) / count(*), 4) AS recall FROM h""",
+    "golden_set": f"""WITH {IDF}, {GOLDEN_SET}, {BM25}, best AS (SELECT qid, id FROM bm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5),
+  h AS (SELECT q.qid, max(CAST(coalesce(contains(lower(d.text), lower(q.expected)), false) AS BIGINT)) AS hit FROM questions q LEFT JOIN best USING (qid) LEFT JOIN documents d ON d.doc_id = best.id GROUP BY q.qid)
+  SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(sum(hit) / count(*), 4) AS recall FROM h""",
+    "read_files": """WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]', '#', 'g') AS t FROM documents),
+  made AS (SELECT doc_id, unnest(['txt', 'md', 'eml', 'pdf']) AS format, unnest([t, t, concat('## Mail von Max Muster', chr(10), 'From: Max Muster <m@x.example>', chr(10), 'Subject: Dokument ', CAST(doc_id AS STRING), chr(10), chr(10), trim(t)), CASE WHEN trim(t) = '' THEN '' ELSE t END]) AS text FROM t)
+  SELECT doc_id, format, sha256(text) AS text_sha256 FROM made""",
     "checks_of_numbers": f"""WITH numbers AS (SELECT item_id AS id, s FROM benchmark, LATERAL (SELECT unnest([concat('756.9217.0', CAST(100 + item_id AS STRING), '.8', CAST(item_id % 10 AS STRING)), concat('CH93 0076 2011 6238 52', CAST(50 + item_id % 50 AS STRING), '7'), 'CH93 0076 2011 6238 5295 7', '756.9217.0769.85',
     concat(CAST(2400000 + item_id * 13337 % 500000 AS STRING), '.5 / ', CAST(1000000 + item_id * 7919 % 400000 AS STRING)), concat(CAST(400000 + item_id * 13337 % 500000 AS STRING), ', ', CAST(50000 + item_id * 7919 % 300000 AS STRING)), 'kein']) AS s))
   SELECT id, s, {CHECK_SQL["ean13"].replace("$", "s")} AS ean13, {CHECK_SQL["iban"].replace("$", "s")} AS iban, {CHECK_SQL["lv95"].replace("$", "s")} AS lv95, {CHECK_SQL["lv03"].replace("$", "s")} AS lv03 FROM numbers""",

@@ -409,6 +409,36 @@ def scan_report(spark, sf_dir):
     return rows.select("doc_id", "characters", "n_hits", "rules_active")
 
 
+@query
+def read_files(spark, sf_dir):
+    """Each document as a file of each of four formats, read back."""
+    from parchment.sources import folder
+
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "#")
+    head = "%PDF-1.7\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Kids[3 0 R]>> endobj 3 0 obj <</Contents 4 0 R/Resources<</Font<</A 5 0 R>>>>>> endobj\n"
+    head += "5 0 obj <</Subtype/Type1>> endobj 4 0 obj <<>> stream\nBT /A 10 Tf 50 700 Td ("
+    contents = {
+        "txt": t,
+        "md": t,
+        "eml": F.concat(F.lit("From: Max Muster <m@x.example>\r\nSubject: Dokument "), F.col("doc_id").cast("string"), F.lit("\r\n\r\n"), t),
+        "pdf": F.concat(F.lit(head), F.regexp_replace(t, r"[()\\\\]", r"\\$0"), F.lit(") Tj ET\nendstream endobj trailer <</Root 1 0 R>>")),
+    }
+    kinds = F.array(*[F.struct(F.lit(k).alias("format"), F.encode(c, "UTF-8").alias("content")) for k, c in contents.items()])
+    files = table(spark, sf_dir, "documents").select("doc_id", F.explode(kinds).alias("f"))
+    files = files.select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("d."), "f.format").alias("name"), "f.content")
+    read = folder.extract(files)
+    return read.select(F.col("path").cast("long").alias("doc_id"), F.substring_index("name", ".", -1).alias("format"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def golden_set(spark, sf_dir):
+    """The golden set asked of the documents."""
+    asked = evaluation.golden_set(spark)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    best = ix.top(ix.bm25_of(_indexed_documents(spark, sf_dir), asked), 5).withColumn("rank", F.col("rank") + 1).join(docs, "id")
+    return evaluation.golden(asked, best)
+
+
 @query
 def question_pick(spark, sf_dir):
     return evaluation.pick(questions(spark, sf_dir), "sheet1").select("qid", "sheet")

@@ -364,9 +364,11 @@ class Page:
         if not isinstance(part, bytes):
             return _times((1, 0, 0, 1, -part / 1000 * size * scale, 0), tm)
         self.place(_times((1, 0, 0, 1, 0, state["rise"]), _times(tm, state["ctm"])), size)
+        onward = 0.0
         for chars, width, blank in state["font"].glyphs(part):
             self.out.append(chars)
-            tm = _times((1, 0, 0, 1, (width * size + state["char"] + state["word"] * blank) * scale, 0), tm)
+            onward += width * size + state["char"] + state["word"] * blank
+        tm = _times((1, 0, 0, 1, onward * scale, 0), tm)
         self.last = _times(tm, state["ctm"])[4:]
         return tm
 
