@@ -6,8 +6,8 @@ chunks that pass it, and statistics are those of all chunks.
 
 No ranking is ever sorted as a whole: with k results, only chunks among the first 60 + 2(k - 1) + 1 of either ranking can
 be in the result (BM25 alone gives the k-th a score of 1 / (60 + k - 1)). These candidates, a number that depends on k
-alone, get their exact ranks by a counting pass: the cosines of an Arrow batch are compared with the candidates' in numpy
-and only counts leave the task. A chunk without any term of the question ranks after those that have one, by id, which is
+alone, get their exact ranks by a counting pass: cosines and BM25 scores of an Arrow batch are compared with the candidates'
+in numpy and only counts leave the task. A chunk without any term of the question ranks after those that have one, by id, which is
 counted too. So no row for each question and chunk is made. Search and hybrid run when called, as they bring the candidates of a
 block of questions to the driver between the passes.
 """
@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,35 +110,35 @@ def cosines(chunks: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k nearest (qid, id, cos) of each question (qid, vec), cos rounded to 6 places. The questions' vectors are
     broadcast, in blocks of bounded size; an Arrow batch of chunks is multiplied with all of a block at once."""
     out = []
-    for ids, matrix in _blocks(vectors):
-        block = _Block(ids.tolist(), matrix.tolist())
+    for block in _blocks(vectors):
         order = chunks.sparkSession.createDataFrame([*enumerate(block.ids)], "q int, qid long")
-        near = _nearest(chunks, block, k).where("near").select("q", "id", (0.0 - F.col("key")).alias("cos"))
+        near = _nearest(chunks, block, k).select("q", "id", (0.0 - F.col("key")).alias("cos"))
         out.append(near.join(F.broadcast(order), "q").select("qid", "id", "cos"))
     return reduce(DataFrame.unionByName, out) if out else chunks.sparkSession.createDataFrame([], "qid long, id long, cos double")
 
 
-def _blocks(vectors: DataFrame, numbers: int = 4_000_000):
-    import numpy as np
-
-    ids, rows, size = [], [], 0
-    for r in vectors.select("qid", T.normalised(F.col("vec"))).orderBy("qid").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        size += len(r[1])
-        if size >= numbers:
-            yield np.array(ids), np.array(rows)
-            ids, rows, size = [], [], 0
-    if ids:
-        yield np.array(ids), np.array(rows)
+def _blocks(questions: DataFrame, numbers: int = 4_000_000):
+    """Blocks of bounded size of the questions (qid, vec), with their terms where they have a text (question)."""
+    texts = T.tokens(F.col("question")) if "question" in questions.columns else F.array().cast("array<string>")
+    rows, size, terms = [], 0, 0
+    for r in questions.select("qid", T.normalised(F.col("vec")), texts).orderBy("qid").toLocalIterator():
+        rows.append((r[0], r[1], Counter(r[2] or ())))
+        size, terms = size + len(r[1]), terms + len(rows[-1][2])
+        if size >= numbers or terms >= ix.BROADCAST_TERMS:
+            yield _Block(*map(list, zip(*rows)))
+            rows, size, terms = [], 0, 0
+    if rows:
+        yield _Block(*map(list, zip(*rows)))
 
 
 @dataclass
 class _Block:
-    """Some questions at once: ids, normalised vectors (None where a question has none), and each one's filter and factor."""
+    """Some questions at once: ids, normalised vectors (None where a question has none), how often each asks its terms, and each
+    one's filter and factor."""
 
     ids: list[int]
     vectors: list
+    terms: list[Counter]
     tests: list[tuple[Column, Column]] | None = None  # None: every chunk passes, with factor 1
 
     def matrix(self):
@@ -147,56 +147,33 @@ class _Block:
         have = [i for i, v in enumerate(self.vectors) if v is not None]
         return have, np.array([self.vectors[i] for i in have], float) if have else None
 
-    def passing(self) -> Column:
-        return F.array(*[F.coalesce(ok, F.lit(False)) for ok, _ in self.tests])
-
-
-def _first(keys, ids, most: int):
-    """Places of the `most` least (key, id)."""
-    import numpy as np
-
-    if len(keys) > most:
-        limit = np.partition(keys, most - 1)[most - 1]
-        few = np.flatnonzero(keys <= limit)
-    else:
-        few = np.arange(len(keys))
-    return few[np.lexsort((ids[few], keys[few]))][:most]
-
 
 def _nearest(seen: DataFrame, block: _Block, most: int) -> DataFrame:
-    """(q, id) of what can be in a result: each question's `most` nearest chunks (near) and the `most` passing chunks of least id.
-    A task keeps so many of its own; the scores of a batch are made, looked at and dropped, so no row for each question and
-    chunk is made."""
+    """(q, id, key): each question's `most` nearest chunks, key being the negative cosine. A task keeps so many of its own; the
+    scores of a batch are made, looked at and dropped, so no row for each question and chunk is made."""
     import numpy as np
     import pyarrow as pa
 
-    shared = seen.sparkSession.sparkContext.broadcast((*block.matrix(), len(block.ids)))
-    filtered = block.tests is not None
+    shared = seen.sparkSession.sparkContext.broadcast(block.matrix())
 
     def run(batches):
-        have, m, n = shared.value
+        have, m = shared.value
         near = [(np.empty(0), np.empty(0, np.int64)) for _ in have]
-        least = [np.empty(0, np.int64) for _ in range(n if filtered else 1)]
         for batch in batches:
-            ids, ok = _ids(batch), _matrix_of(batch.column("ok"), n) if filtered else None
+            ids = _ids(batch)
             if m is not None and len(ids):
                 scores = -np.round(_matrix_of(batch.column("vec"), m.shape[1]) @ m.T, 6)
                 for j in range(len(have)):
                     keys, own = np.concatenate([near[j][0], scores[:, j]]), np.concatenate([near[j][1], ids])
-                    at = _first(keys, own, most)
+                    at = ix.first(keys, own, most)
                     near[j] = keys[at], own[at]
-            for j in range(len(least)):
-                own = np.concatenate([least[j], ids[ok[:, j]] if filtered else ids])
-                least[j] = np.sort(own)[:most]
-        of_near, of_least = [have[j] for j in range(len(have)) for _ in near[j][1]], [j if filtered else -1 for j, x in enumerate(least) for _ in x]
-        if of_near or of_least:
-            keys, found = np.concatenate([*(x for x, _ in near), np.zeros(len(of_least))]), np.concatenate([*(x for _, x in near), *least])
-            yield pa.RecordBatch.from_arrays([pa.array([*of_near, *of_least], pa.int32()), pa.array(keys), pa.array(found, pa.int64()), pa.array([True] * len(of_near) + [False] * len(of_least))], names=["q", "key", "id", "near"])
+        of = [have[j] for j in range(len(have)) for _ in near[j][1]]
+        if of:
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(np.concatenate([x for x, _ in near])), pa.array(np.concatenate([x for _, x in near]), pa.int64())], names=["q", "key", "id"])
 
-    columns = ["id", "vec"] + ([block.passing().alias("ok")] if filtered else [])
-    found = seen.select(*columns).mapInArrow(run, "q int, key double, id long, near boolean")
-    place = F.row_number().over(Window.partitionBy("q", "near").orderBy("key", "id"))
-    return found.withColumn("r", place).where(F.col("r") <= most).select("q", "id", "near", "key")
+    found = seen.select("id", "vec").mapInArrow(run, "q int, key double, id long")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("key", "id"))
+    return found.withColumn("r", place).where(F.col("r") <= most).select("q", "id", "key")
 
 
 def _ids(batch):
@@ -215,148 +192,185 @@ def _before(keys, ids, of_keys, of_ids):
 
     place = np.searchsorted(of_keys, keys, "right")
     low = np.searchsorted(of_keys, keys, "left")
-    for i in np.flatnonzero(low < place):
-        place[i] = low[i] + np.searchsorted(of_ids[low[i] : place[i]], ids[i], "right")
+    tied = np.flatnonzero(low < place)
+    for at in np.unique(low[tied]):
+        own = tied[low[tied] == at]
+        place[own] = at + np.searchsorted(of_ids[at : place[own[0]]], ids[own], "right")
     return np.bincount(place, minlength=len(of_keys) + 1)
 
 
-def _counts(kind: int, q: int, numbers):
+def _counted(chunks: DataFrame, block: _Block, index: ix.Index | None):
+    """(rows, scorer): the visible chunks with what they have of the block's terms and whether they pass its filters, stored once
+    and without texts, and what scores them."""
+    asked = ix.Asked.of([*zip(block.ids, block.terms)])
+    known = chunks.where(F.col("vec").isNotNull())
+    keep = ["vec"]
+    if block.tests is not None:
+        known = known.withColumns({"ok": F.array(*[F.coalesce(ok, F.lit(False)) for ok, _ in block.tests]), "factor": F.array(*[x.cast("double") for _, x in block.tests])})
+        keep += ["ok", "factor"]
+    if index is None:
+        rows = ix.counted(known, asked.terms, tuple(keep))
+    else:
+        terms = chunks.sparkSession.createDataFrame([*enumerate(asked.terms)], "at int, term string")
+        found = index.postings.join(F.broadcast(terms), "term").groupBy("id").agg(F.max("dl").alias("dl"), F.sort_array(F.collect_list(F.struct("at", F.col("tf").cast("int").alias("tf")))).alias("s"))
+        found = found.select("id", "dl", F.col("s.at").alias("at"), F.col("s.tf").alias("tf"))
+        none = F.array().cast("array<int>")
+        rows = known.select("id", *keep).join(found, "id", "left").select("id", *keep, F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("at", none).alias("at"), F.coalesce("tf", none).alias("tf"))
+    rows = ix.stored(rows, "seen")
+    size = rows.agg(F.min_by(F.size("vec"), "id")).first()[0]
+    rows = rows.where(F.size("vec") == F.lit(size))
+    _, idf, avgdl = ix.idf_of(rows, asked.terms)
+    if index is not None:
+        number = {t: i for i, t in enumerate(asked.terms)}
+        for r in index.terms.join(F.broadcast(terms), "term").select("term", "idf").toLocalIterator():
+            idf[number[r[0]]] = r[1]
+        avgdl = index.stats.select("avgdl").first()[0]
+    return rows, ix.Scorer(asked, idf, avgdl)
+
+
+def _scored(batch, have, m, scorer, filtered: bool):
+    """(ids, cos, bm, ok, factor) of the slices of a batch; a column for each question, cos only for those that have a vector."""
     import numpy as np
 
-    at = np.flatnonzero(numbers)
-    return [(kind, q, int(j), int(numbers[j])) for j in at]
+    for part, bm in scorer.parts(batch):
+        cos = None if m is None else np.round(_matrix_of(part.column("vec"), m.shape[1]) @ m.T, 6)
+        ok, factor = (_matrix_of(part.column(c), scorer.questions) for c in ("ok", "factor")) if filtered else (None, None)
+        yield _ids(part), cos, bm, ok, factor
 
 
-def _ranks_in_all(seen: DataFrame, block: _Block, thresholds: dict) -> DataFrame:
-    """(kind, q, place, n): how many chunks stand at each place among a question's candidates, by cosine (kind 0) and, of those
-    that pass, by id (kind 1)."""
+def _candidates(seen: DataFrame, block: _Block, scorer, most: int) -> DataFrame:
+    """(q, id, cos, bm, factor, ok) of what can be in a result: each question's `most` nearest chunks, and of those that pass its
+    `most` best by terms and its `most` of least id. A task keeps so many of its own; the scores of a slice are made, looked at
+    and dropped."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    shared = seen.sparkSession.sparkContext.broadcast((*block.matrix(), len(block.ids), thresholds))
+    shared = seen.sparkSession.sparkContext.broadcast((*block.matrix(), scorer))
     filtered = block.tests is not None
 
     def run(batches):
-        have, m, n, known = shared.value
-        sums: dict = {}
+        have, m, scorer = shared.value
+        held: dict = {}
+
+        def offer(kind, q, keys, ids, at, *more):
+            """Of the rows at these places, and those held so far, the first ones are held."""
+            new = [keys[at], ids[at], *(x[at] for x in more)]
+            old = held.get((kind, q))
+            both = [np.concatenate(x) for x in zip(old, new)] if old else new
+            few = ix.first(both[0], both[1], most)
+            held[kind, q] = [x[few] for x in both]
+
         for batch in batches:
-            ids, ok = _ids(batch), _matrix_of(batch.column("ok"), n) if filtered else None
-            if not len(ids):
-                continue
-            scores = None if m is None else -np.round(_matrix_of(batch.column("vec"), m.shape[1]) @ m.T, 6)
-            for q, t in known.items():
-                if q in have:
-                    found = _before(scores[:, have.index(q)], ids, t["cos"], t["cos_ids"])
-                    sums[0, q] = sums.get((0, q), 0) + found
-                own = ids[ok[:, q]] if filtered else ids
-                sums[1, q] = sums.get((1, q), 0) + np.bincount(np.searchsorted(t["ids"], own, "right"), minlength=len(t["ids"]) + 1)
-        rows = [x for (kind, q), numbers in sums.items() for x in _counts(kind, q, numbers)]
-        import pyarrow as pa
+            for ids, cos, bm, ok, factor in _scored(batch, have, m, scorer, filtered):
+                nothing, every = np.full(len(ids), np.nan), np.ones(len(ids), bool)
+                column = {q: cos[:, j] for j, q in enumerate(have)} if cos is not None else {}
+                for q in range(scorer.questions):
+                    c, passing = column.get(q, nothing), ok[:, q].astype(bool) if filtered else every
+                    rest = c, bm[:, q], factor[:, q] if filtered else np.ones(len(ids)), passing
+                    if q in column:
+                        offer(0, q, -c, ids, ix.first(-c, ids, most), *rest)
+                    hit = np.flatnonzero(passing & (bm[:, q] > 0))
+                    if len(hit):
+                        offer(1, q, -bm[:, q], ids, hit[ix.first(-bm[hit, q], ids[hit], most)], *rest)
+                    own = np.flatnonzero(passing)
+                    if len(own):
+                        few = own[np.argpartition(ids[own], most - 1)[:most]] if len(own) > most else own
+                        offer(2, q, np.zeros(len(ids)), ids, few, *rest)
+        if held:
+            of = [[k for (k, _), x in held.items() for _ in x[1]], [q for (_, q), x in held.items() for _ in x[1]]]
+            key, i, c, b, f, p = (np.concatenate(x) for x in zip(*held.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(of[0], pa.int32()), pa.array(of[1], pa.int32()), pa.array(key), pa.array(i, pa.int64()), pa.array(c), pa.array(b), pa.array(f), pa.array(p)], names=["kind", "q", "key", "id", "cos", "bm", "factor", "ok"])
+
+    columns = ["id", "vec", "dl", "at", "tf"] + (["ok", "factor"] if filtered else [])
+    found = seen.select(*columns).mapInArrow(run, "kind int, q int, key double, id long, cos double, bm double, factor double, ok boolean")
+    place = F.row_number().over(Window.partitionBy("q", "kind").orderBy("key", "id"))
+    return found.withColumn("r", place).where(F.col("r") <= most).where("ok").select("q", "id", "cos", "bm", "factor")
+
+
+def _ranks(seen: DataFrame, block: _Block, scorer, thresholds: dict) -> DataFrame:
+    """(kind, q, place, n): how many chunks stand at each place among a question's candidates: by cosine (kind 0); of those that
+    pass, by id (1); and of these, those that have a term of it, by score (2) and by id (3)."""
+    import numpy as np
+    import pyarrow as pa
 
-        if rows:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["kind", "q", "place", "n"]).astype({"kind": "int32", "q": "int32"}), preserve_index=False)
+    shared = seen.sparkSession.sparkContext.broadcast((*block.matrix(), scorer, thresholds))
+    filtered = block.tests is not None
 
-    columns = ["id", "vec"] + ([block.passing().alias("ok")] if filtered else [])
-    return seen.select(*columns).mapInArrow(run, "kind int, q int, place long, n long")
+    def run(batches):
+        have, m, scorer, known = shared.value
+        column, sums = {q: j for j, q in enumerate(have)}, {}
 
+        def add(kind, q, numbers):
+            sums[kind, q] = sums.get((kind, q), 0) + numbers
 
-def _ranks_in_hits(hits: DataFrame, block: _Block, thresholds: dict) -> DataFrame:
-    """The same among the passing chunks that have a term of the question: by score (kind 2) and by id (kind 3)."""
-    import numpy as np
-    import pandas as pd
+        for batch in batches:
+            for ids, cos, bm, ok, _ in _scored(batch, have, m, scorer, filtered):
+                for q, t in known.items():
+                    among = lambda x, t=t: np.bincount(np.searchsorted(t["ids"], x, "right"), minlength=len(t["ids"]) + 1)
+                    if q in column:
+                        add(0, q, _before(-cos[:, column[q]], ids, t["cos"], t["cos_ids"]))
+                    passing = ok[:, q].astype(bool) if filtered else np.ones(len(ids), bool)
+                    add(1, q, among(ids[passing]))
+                    hit = passing & (bm[:, q] > 0)
+                    add(2, q, _before(-bm[hit, q], ids[hit], t["bm"], t["bm_ids"]))
+                    add(3, q, among(ids[hit]))
+        rows = [(kind, q, int(j), int(numbers[j])) for (kind, q), numbers in sums.items() for j in np.flatnonzero(numbers)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["kind", "q", "place", "n"])
+
+    columns = ["id", "vec", "dl", "at", "tf"] + (["ok", "factor"] if filtered else [])
+    return seen.select(*columns).mapInArrow(run, "kind int, q int, place long, n long")
 
-    place = {qid: q for q, qid in enumerate(block.ids)}
-    shared = hits.sparkSession.sparkContext.broadcast((place, thresholds))
 
-    def run(batches):
-        of, known = shared.value
-        sums: dict = {}
-        for frame in batches:
-            for qid, rows in frame.groupby("qid"):
-                q = of.get(qid)
-                if q not in known:
-                    continue
-                t, ids = known[q], rows["id"].to_numpy()
-                sums[2, q] = sums.get((2, q), 0) + _before(-rows["bm"].to_numpy(), ids, t["bm"], t["bm_ids"])
-                sums[3, q] = sums.get((3, q), 0) + np.bincount(np.searchsorted(t["ids"], ids, "right"), minlength=len(t["ids"]) + 1)
-        yield pd.DataFrame([x for (kind, q), numbers in sums.items() for x in _counts(kind, q, numbers)], columns=["kind", "q", "place", "n"])
-
-    return hits.select("qid", "id", "bm").mapInPandas(run, "kind int, q int, place long, n long")
-
-
-def _best(seen: DataFrame, bm: DataFrame, block: _Block, k: int, constant: int, most_boost: float) -> list[tuple[int, int, float, int]]:
-    """The k best (qid, id, score, rank) of each question of a block; bm: (qid, id, bm) of chunks with a term of it, bm > 0."""
+def _best(chunks: DataFrame, block: _Block, k: int, constant: int, most_boost: float, index: ix.Index | None) -> list[tuple[int, int, float, int]]:
+    """The k best (qid, id, score, rank) of each question of a block. Chunks are cut into terms and stored once, then read for
+    the statistics, the candidates and their ranks."""
     import math
 
     import numpy as np
 
-    spark = seen.sparkSession
     kth = constant + k - 1
     most = math.ceil(2 * most_boost * kth) - constant + 1  # a chunk at this rank in both lists is below the k-th of BM25 alone
-    order = spark.createDataFrame([*enumerate(block.ids)], "q int, qid long")
-    tests = None
-    if block.tests is not None:
-        tests = F.array(*[F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), factor.alias("factor")) for ok, factor in block.tests])
-    hits = bm.join(F.broadcast(order), "qid")
-    if tests is not None:
-        hits = hits.join(seen.select("id", tests.alias("t")), "id").where(F.element_at("t", F.col("q") + 1)["ok"]).drop("t")
-    hits = hits.select("qid", "q", "id", "bm").persist(StorageLevel.MEMORY_AND_DISK)  # read three times
-    try:
-        every = [i for i, _ in enumerate(block.ids)]
-        first = _nearest(seen, block, most)
-        near, least = first.where("near").select("q", "id"), first.where("not near").select("q", "id")
-        least = least.where("q >= 0").unionByName(least.where("q < 0").select("id").distinct().select(F.explode(F.lit(every).cast("array<int>")).alias("q"), "id")) if block.tests is None else least
-        by_score = Window.partitionBy("q").orderBy(F.desc("bm"), F.asc("id"))
-        top = hits.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= most).select("q", "id")
-        wanted = near.unionByName(least).unionByName(top).distinct()
-        with_vec = [(q, v) for q, v in enumerate(block.vectors) if v is not None]
-        asked = spark.createDataFrame(with_vec or [], "q int, v array<double>")
-        cos = F.round(F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6)
-        rows = wanted.join(seen.select("id", "vec", *([tests.alias("t")] if tests is not None else [])), "id").join(F.broadcast(asked), "q", "left")
-        passing = F.element_at("t", F.col("q") + 1) if tests is not None else F.struct(F.lit(True).alias("ok"), F.lit(1.0).alias("factor"))
-        rows = rows.select("q", "id", cos.alias("cos"), passing.alias("p")).where("p.ok").join(hits.select("q", "id", "bm"), ["q", "id"], "left")
-        found = rows.select("q", "id", "cos", F.col("p.factor").alias("factor"), "bm").toPandas()  # for each question a number that depends on k alone
-        thresholds, of_question = {}, {}
-        for q, rows_of in found.groupby("q"):
-            ids, c, b = rows_of["id"].to_numpy(), rows_of["cos"].to_numpy(float), rows_of["bm"].fillna(0.0).to_numpy(float)
-            # of the least ids, only those that follow the ones with a term can be in the result
-            keep = np.zeros(len(ids), bool)
-            if not np.isnan(c).all():
-                keep[_first(-c, ids, most)] = True
-            keep[_first(-b, ids, most)] = True
-            ids, c, b, factor = ids[keep], c[keep], b[keep], rows_of["factor"].to_numpy(float)[keep]
-            by_cos, by_bm = np.lexsort((ids, -c)), np.lexsort((ids, -b))
-            by_bm = by_bm[b[by_bm] > 0]
-            thresholds[q] = {"cos": -c[by_cos], "cos_ids": ids[by_cos], "bm": -b[by_bm], "bm_ids": ids[by_bm], "ids": np.sort(ids)}
-            of_question[q] = ids, c, b, factor, by_cos, by_bm
-        if not thresholds:
-            return []
-        counts = _ranks_in_all(seen, block, thresholds).unionByName(_ranks_in_hits(hits, block, thresholds))
-        sums: dict = {}
-        for kind, q, place, n in counts.groupBy("kind", "q", "place").agg(F.sum("n")).collect():
-            sums.setdefault((kind, q), {})[place] = n
-        out = []
-        for q, (ids, c, b, factor, by_cos, by_bm) in of_question.items():
-
-            def ahead(kind: int, size: int, q=q):
-                found = sums.get((kind, q), {})
-                return np.cumsum([found.get(j, 0) for j in range(size + 1)])
-
-            sorted_ids = np.argsort(ids, kind="stable")
-            cos_rank, bm_rank, all_before, hits_before = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
-            cos_rank[by_cos] = ahead(0, len(ids))[:-1]
-            bm_rank[by_bm] = ahead(2, len(by_bm))[:-1]
-            all_before[sorted_ids], hits_before[sorted_ids] = ahead(1, len(ids))[:-1], ahead(3, len(ids))[:-1]
-            without = b <= 0  # those without a term come after all that have one, in order of id
-            bm_rank[without] = ahead(2, len(by_bm))[-1] + all_before[without] - hits_before[without]
-            has_vector = block.vectors[q] is not None
-            score = np.array([round(float(x), 9) for x in ((1.0 / (constant + cos_rank) if has_vector else 0.0) + 1.0 / (constant + bm_rank)) * factor])
-            tie = cos_rank if has_vector else bm_rank
-            for rank, i in enumerate(np.lexsort((tie, -score))[:k], 1):
-                out.append((block.ids[q], int(ids[i]), float(score[i]), rank))
-        return out
-    finally:
-        hits.unpersist()
+    seen, scorer = _counted(chunks, block, index)
+    found = _candidates(seen, block, scorer, most).toPandas().drop_duplicates(["q", "id"])  # for each question a number that depends on k alone
+    thresholds, of_question = {}, {}
+    for q, rows_of in found.groupby("q"):
+        ids, c, b = rows_of["id"].to_numpy(), rows_of["cos"].to_numpy(float), rows_of["bm"].to_numpy(float)
+        # of the least ids, only those that follow the ones with a term can be in the result
+        keep = np.zeros(len(ids), bool)
+        if not np.isnan(c).all():
+            keep[ix.first(-c, ids, most)] = True
+        keep[ix.first(-b, ids, most)] = True
+        ids, c, b, factor = ids[keep], c[keep], b[keep], rows_of["factor"].to_numpy(float)[keep]
+        by_cos, by_bm = np.lexsort((ids, -c)), np.lexsort((ids, -b))
+        by_bm = by_bm[b[by_bm] > 0]
+        thresholds[q] = {"cos": -c[by_cos], "cos_ids": ids[by_cos], "bm": -b[by_bm], "bm_ids": ids[by_bm], "ids": np.sort(ids)}
+        of_question[q] = ids, c, b, factor, by_cos, by_bm
+    if not thresholds:
+        return []
+    sums: dict = {}
+    for kind, q, place, n in _ranks(seen, block, scorer, thresholds).groupBy("kind", "q", "place").agg(F.sum("n")).collect():
+        sums.setdefault((kind, q), {})[place] = n
+    out = []
+    for q, (ids, c, b, factor, by_cos, by_bm) in of_question.items():
+
+        def ahead(kind: int, size: int, q=q):
+            found = sums.get((kind, q), {})
+            return np.cumsum([found.get(j, 0) for j in range(size + 1)])
+
+        sorted_ids = np.argsort(ids, kind="stable")
+        cos_rank, bm_rank, all_before, hits_before = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
+        cos_rank[by_cos] = ahead(0, len(ids))[:-1]
+        bm_rank[by_bm] = ahead(2, len(by_bm))[:-1]
+        all_before[sorted_ids], hits_before[sorted_ids] = ahead(1, len(ids))[:-1], ahead(3, len(ids))[:-1]
+        without = b <= 0  # those without a term come after all that have one, in order of id
+        bm_rank[without] = ahead(2, len(by_bm))[-1] + all_before[without] - hits_before[without]
+        has_vector = block.vectors[q] is not None
+        score = np.array([round(float(x), 9) for x in ((1.0 / (constant + cos_rank) if has_vector else 0.0) + 1.0 / (constant + bm_rank)) * factor])
+        tie = cos_rank if has_vector else bm_rank
+        for rank, i in enumerate(np.lexsort((tie, -score))[:k], 1):
+            out.append((block.ids[q], int(ids[i]), float(score[i]), rank))
+    return out
 
 
 RESULT = "qid long, id long, score double, rank int"
@@ -365,20 +379,16 @@ RESULT = "qid long, id long, score double, rank int"
 def hybrid(chunks: DataFrame, questions: DataFrame, index: ix.Index | None = None, k: int = C.TOP_K, constant: int = C.RRF_K) -> DataFrame:
     """The k best (qid, id, score, rank) for each plain question (qid, question, vec), without query language; for evaluation.
     Questions go in blocks of bounded size; what a block brings to the driver depends on k and its questions."""
-    seen = visible(chunks)
-    with_vectors = questions.where("vec is not null")
-    scores = (ix.bm25(index, with_vectors) if index else ix.bm25_of(seen, with_vectors)).withColumnRenamed("score", "bm").where("bm > 0")
     out = []
-    for ids, vectors in _blocks(with_vectors):
-        out += _best(seen, scores, _Block(ids.tolist(), vectors.tolist()), k, constant, 1.0)
+    for block in _blocks(questions.where("vec is not null")):
+        out += _best(chunks, block, k, constant, 1.0, index)
     return chunks.sparkSession.createDataFrame(out, RESULT)
 
 
 def search(chunks: DataFrame, queries: list[tuple[int, str, list[float] | None]], k: int = C.TOP_K, index: ix.Index | None = None, tag_boost: float = 1.0, constant: int = C.RRF_K) -> DataFrame:
     """The k best (qid, id, score, rank) of each (qid, text, vector) in the query language. A vector counts only beside free text."""
     spark: SparkSession = chunks.sparkSession
-    seen = visible(chunks)
-    block = _Block([], [], [])
+    block = _Block([], [], [], [])
     asked = []
     for qid, text, vec in queries:
         p = parse(text)
@@ -394,9 +404,9 @@ def search(chunks: DataFrame, queries: list[tuple[int, str, list[float] | None]]
         block.tests.append((passes(p, F.col("source"), F.col("text"), F.col("tags")), factor))
     if not asked:
         return spark.createDataFrame([], RESULT)
-    questions = spark.createDataFrame(asked, "qid long, question string")
-    scores = (ix.bm25(index, questions) if index else ix.bm25_of(seen, questions)).withColumnRenamed("score", "bm").where("bm > 0")
-    return spark.createDataFrame(_best(seen, scores, block, k, constant, max(1.0, tag_boost)), RESULT)
+    questions = spark.createDataFrame([(i, plain) for i, (_, plain) in enumerate(asked)], "i int, question string")
+    block.terms = [Counter(toks) for _, toks in sorted(questions.select("i", T.tokens(F.col("question"))).collect())]
+    return spark.createDataFrame(_best(chunks, block, k, constant, max(1.0, tag_boost), index), RESULT)
 
 
 def _query_tags(text: str) -> list[str]:
