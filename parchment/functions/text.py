@@ -3,6 +3,9 @@ should whatever the engine's shorthands mean: WORD is a letter, digit or undersc
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,22 +47,86 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def in_python(regex: str) -> re.Pattern:
+    """A pattern of this module for Python, whose \\w, \\s and \\d are WORD, SPACE and \\p{Nd}."""
+    return re.compile(regex.replace(f"[^{SPACE}]", r"\S").replace(f"[{SPACE}]", r"\s").replace(WORD, r"\w").replace(r"\p{Nd}", r"\d"))
+
+
+HYPHEN, CONTENTS, FOOTER, BLANKS = (in_python(rx) for rx in (rf"-[{SPACE}]*\n[{SPACE}]*", CONTENTS_LINE, FOOTER_LINE, r"[ \t]{2,}"))
+HEADERS = ("MS ID/Ver", "Dok-ID/Vers")
+
+
+def joined(text: str) -> str:
+    """text without soft hyphens and without hyphens at line ends."""
+    return HYPHEN.sub("", text.replace("\u00ad", ""))
+
+
+def is_plain_furniture(x: str) -> bool:
+    """A trimmed line that matches CONTENTS_LINE, HEADER_LINE or NUMBER_LINE. Plain tests say which lines need a pattern."""
+    if "....." in x and CONTENTS.search(x):
+        return True
+    if x.startswith(HEADERS) and any(x.startswith(h) and x[len(h) : len(h) + 1].isspace() for h in HEADERS):
+        return True
+    return len(x) <= 3 and x.isdecimal()
+
+
+def is_furniture(x: str) -> bool:
+    """The same, or one that matches FOOTER_LINE."""
+    return is_plain_furniture(x) or (x[0].isdecimal() or x[0] in "©F") and bool(FOOTER.match(x))
+
+
+def lines_of(text: str) -> list[str]:
+    """clean_lines() of one text."""
+    out = []
+    for x in joined(text).split("\n"):
+        if x != C.PAGE_BREAK:
+            x = x.strip()
+            if not x or is_furniture(x):
+                continue
+            if "  " in x or "\t" in x:
+                x = BLANKS.sub(" ", x)
+        out.append(x)
+    return out
+
+
 def clean_lines(text: Column) -> Column:
     """The lines that carry text, trimmed; page breaks stay as lines of their own."""
-    joined = F.regexp_replace(F.replace(text, F.lit("­"), F.lit("")), rf"-[{SPACE}]*\n[{SPACE}]*", "")
-    lines = F.transform(F.split(joined, "\n", -1), lambda x: F.when(x == C.PAGE_BREAK, x).otherwise(strip(x)))
-    furniture = lambda x: x.rlike(CONTENTS_LINE) | x.rlike(HEADER_LINE) | x.rlike(NUMBER_LINE) | x.rlike(FOOTER_LINE)
-    kept = F.filter(lines, lambda x: (x == C.PAGE_BREAK) | ((x != "") & ~furniture(x)))
-    return F.transform(kept, lambda x: F.regexp_replace(x, r"[ \t]{2,}", " "))
+
+    @F.pandas_udf("array<string>")
+    def cleaned(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else lines_of(t))
+
+    return cleaned(text)
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+#: A text that has none of these, once its case is folded, has no match of the tag's pattern.
+TAG_PARTS = {
+    "frist": "frist innerhalb binnen spätestens spaetestens werktag arbeitstag stunde tagen woche monate".split(),
+    "schwellenwert": "chf franken schwellenwert ' ’ ≥ ≤ < > mindestens höchstens hoechstens".split(),
+    "zustaendigkeit": "zuständig zustaendig verantwortlich obliegt federführ federfuehr".split(),
+}
+TAG_PATTERNS = {tag: re.compile(in_python(rx).pattern, re.I) for tag, rx in TAGS.items()}
+
+
+def tags_of(text: str) -> list[str]:
+    """Heuristic tags of one text in fixed order."""
+    low = text.casefold()
+    dotless = "\u0130" in text or "\u0131" in text  # these count as i, but don't fold to it
+    return [tag for tag, rx in TAG_PATTERNS.items() if (dotless or any(p in low for p in TAG_PARTS[tag])) and rx.search(text)]
+
+
 def tags(text: Column, seeds: Column | None = None) -> Column:
     """Heuristic tags in fixed order, then lower-cased seeds; each once."""
-    own = F.filter(F.array(*[F.when(text.rlike(f"(?iu){rx}"), F.lit(tag)) for tag, rx in TAGS.items()]), lambda t: t.isNotNull())
+
+    @F.pandas_udf("array<string>")
+    def found(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [] if t is None else tags_of(t))
+
+    own = found(text)
     return own if seeds is None else F.array_distinct(F.concat(own, F.transform(seeds, F.lower)))
 
 

@@ -2,100 +2,145 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from parchment import config as C
 from parchment.functions import text as T
 
 
-def _kinds(lines: Column) -> Column:
-    """Each line with its kind (page, head, line), what the chunk starts with and what its heading is."""
-
-    def of(x):
-        numbered = x.rlike(T.NUMBERED_HEADING) & F.regexp_extract(x, T.NUMBERED_HEADING, 2).rlike("[a-zäöü]")
-        marked = T.strip(F.regexp_extract(x, T.MARKED_HEADING, 2))
-        full = T.strip(F.concat_ws(" ", F.regexp_extract(x, T.NUMBERED_HEADING, 1), F.regexp_extract(x, T.NUMBERED_HEADING, 2)))
-        return (
-            F.when(x == C.PAGE_BREAK, F.struct(F.lit("page").alias("kind"), x.alias("line"), F.lit("").alias("head")))
-            .when(numbered, F.struct(F.lit("head").alias("kind"), x.alias("line"), full.alias("head")))
-            .when(x.rlike(T.MARKED_HEADING), F.struct(F.lit("head").alias("kind"), marked.alias("line"), marked.alias("head")))
-            .otherwise(F.struct(F.lit("line").alias("kind"), x.alias("line"), F.lit("").alias("head")))
-        )
-
-    return F.transform(lines, of)
+NUMBERED, MARKED, LOWER = T.in_python(T.NUMBERED_HEADING), T.in_python(T.MARKED_HEADING), re.compile("[a-zäöü]")
+SIZED = T.in_python(r"(?s)^(\p{Nd}+(?:\.\p{Nd}+){0,3})[" + T.SPACE + r"]+([A-ZÄÖÜ].{2,80})$")
+
+
+def _kind(x: str) -> tuple[str, str, str]:
+    """A line's kind (page, head, line), what the chunk starts with and what its heading is."""
+    if x == C.PAGE_BREAK:
+        return "page", x, ""
+    if x[:1].isdecimal():
+        m = NUMBERED.match(x)
+        if m and LOWER.search(m[2]):
+            return "head", x, f"{m[1]} {m[2]}".strip()
+    elif x[:1] == "#":
+        m = MARKED.match(x)
+        if m:
+            return "head", m[2].strip(), m[2].strip()
+    return "line", x, ""
+
+
+def _fold(kinds, target: int, hard: int, least: int, shown) -> list[str]:
+    """Texts of the chunks of lines with their kinds; shown(heading) stands before each. A heading or page break ends a chunk; so
+    does a line that would pass `hard`, and a sentence's end beyond `target`. Single lines are never cut."""
+    out: list[str] = []
+    cur, head, size = "", "", 0
+
+    def flush():
+        body = cur.strip()
+        if len(body) >= least:
+            out.append(shown(head) + body)
+
+    for kind, line, own in kinds:
+        n = len(line)
+        if kind == "page":
+            flush()
+            cur, head, size = "", "", 0
+        elif kind == "head":
+            flush()
+            cur, head, size = line, own, n
+        else:
+            if size + n > hard:
+                flush()
+                cur, size = "", 0
+            cur = f"{cur} {line}" if cur else line
+            size += n + 1
+            if size >= target and line[-1:] in (".", ";", ":"):
+                flush()
+                cur, size = "", 0
+    flush()
+    return out
+
+
+def _titled(prefix: str | None):
+    """What stands before a chunk: the prefix and its heading."""
+
+    def shown(head: str) -> str:
+        parts = " > ".join(p for p in (prefix, head) if p)
+        return f"{parts}: " if parts else ""
+
+    return shown
 
 
 def pack(lines: Column, target: int = C.CHUNK_TARGET, hard: int = C.CHUNK_HARD, least: int = C.CHUNK_MIN, prefix: Column | None = None) -> Column:
-    """Texts of the chunks. A heading or page break ends a chunk; so does a line that would pass `hard`, and a sentence's end
-    beyond `target`. Single lines are never cut. The array of chunks is copied only where a chunk ends."""
-
-    def shown(head):
-        parts = F.concat_ws(" > ", *[F.when(p != "", p) for p in ([head] if prefix is None else [prefix, head])])
-        return F.when(parts != "", F.concat(parts, F.lit(": "))).otherwise("")
+    """Texts of the chunks of an array of lines."""
 
-    return _packed(_kinds(lines), target, hard, least, shown)
+    @F.pandas_udf("array<string>")
+    def packed(lines: pd.Series, prefix: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else _fold(map(_kind, x), target, hard, least, _titled(p)) for x, p in zip(lines, prefix)])
 
+    return packed(lines, F.lit("") if prefix is None else prefix)
 
-def _packed(kinds: Column, target: int, hard: int, least: int, shown) -> Column:
-    """pack() of lines with their kinds; shown(heading) stands before each chunk."""
 
-    def flushed(chunks, cur, head):
-        body = T.strip(cur)
-        return F.when(F.length(body) >= least, F.concat(chunks, F.array(F.concat(shown(head), body)))).otherwise(chunks)
+def _exploded(rows: DataFrame, pieces) -> DataFrame:
+    """The columns of rows but text and prefix, with ord and text of each of pieces(text, prefix). One scan of a Python string for
+    each step, where folds of expressions copy what they have at each line."""
+    kept = [c for c in rows.columns if c not in ("text", "prefix")]
+    schema = StructType([rows.schema[c] for c in kept]).add("ord", IntegerType()).add("text", StringType())
 
-    def state(chunks, cur, head, size):
-        return F.struct(chunks.alias("chunks"), cur.alias("cur"), head.alias("head"), size.cast("int").alias("size"))
+    def run(batches):
+        for batch in batches:
+            at, ords, out = [], [], []
+            prefixes = batch.column("prefix").to_pylist() if "prefix" in batch.schema.names else [""] * len(batch)
+            for i, (text, prefix) in enumerate(zip(batch.column("text").to_pylist(), prefixes)):
+                own = pieces(text, prefix) if text is not None else ()
+                at.extend([i] * len(own))
+                ords.extend(range(len(own)))
+                out.extend(own)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), pa.array(ords, pa.int32()), pa.array(out, pa.string())], names=schema.names)
 
-    def step(a, x):
-        line, n = x["line"], F.length(x["line"])
-        over = a["size"] + n > hard
-        chunks = F.when(over, flushed(a["chunks"], a["cur"], a["head"])).otherwise(a["chunks"])
-        cur = F.when(over | (a["cur"] == ""), line).otherwise(F.concat(a["cur"], F.lit(" "), line))
-        size = F.when(over, 0).otherwise(a["size"]) + n + 1
-        ends = (size >= target) & F.substring(line, -1, 1).isin(".", ";", ":")
-        return (
-            F.when(x["kind"] == "page", state(flushed(a["chunks"], a["cur"], a["head"]), F.lit(""), F.lit(""), F.lit(0)))
-            .when(x["kind"] == "head", state(flushed(a["chunks"], a["cur"], a["head"]), line, x["head"], n))
-            .when(ends, state(flushed(chunks, cur, a["head"]), F.lit(""), a["head"], F.lit(0)))
-            .otherwise(state(chunks, cur, a["head"], size))
-        )
-
-    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(""), F.lit(0))
-    return F.aggregate(kinds, start, step, lambda a: flushed(a["chunks"], a["cur"], a["head"]))
+    return rows.mapInArrow(run, schema)
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seeds_col: str | None = None, titles: bool = False) -> DataFrame:
     """(doc_id, source, ord, text, tags) for every chunk. titles: put the source's readable title before each chunk."""
-    seeds = F.col("seeds") if seeds_col else None
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), T.clean_lines(F.coalesce(docs[text_col], F.lit(""))).alias("lines"), *([docs[seeds_col].alias("seeds")] if seeds_col else []))
-    packed = rows.select("doc_id", "source", *(["seeds"] if seeds_col else []), F.posexplode(pack(F.col("lines"), prefix=T.title_of(F.col("source")) if titles else None)).alias("ord", "text"))
-    return packed.select("doc_id", "source", "ord", "text", T.tags(F.col("text"), seeds).alias("tags"))
+    own = [docs[id_col].alias("doc_id"), docs[source_col].alias("source"), *([docs[seeds_col].alias("seeds")] if seeds_col else [])]
+    prefix = [T.title_of(docs[source_col]).alias("prefix")] if titles else []
+    rows = docs.select(*own, F.coalesce(docs[text_col], F.lit("")).alias("text"), *prefix)
+    packed = _exploded(rows, lambda text, prefix: _fold(map(_kind, T.lines_of(text)), C.CHUNK_TARGET, C.CHUNK_HARD, C.CHUNK_MIN, _titled(prefix)))
+    return packed.select("doc_id", "source", "ord", "text", T.tags(F.col("text"), F.col("seeds") if seeds_col else None).alias("tags"))
 
 
 def flat_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 350, overlap: int = 80, least: int = 20) -> DataFrame:
     """(doc_id, ord, text): windows of fixed size over the text with white space folded."""
-    joined = F.regexp_replace(F.replace(docs[text_col], F.lit("­"), F.lit("")), rf"-[{T.SPACE}]*\n[{T.SPACE}]*", "")
-    rows = docs.select(docs[id_col].alias("doc_id"), T.strip(F.regexp_replace(joined, rf"[{T.SPACE}]+", " ")).alias("t")).where("t <> ''")
     step = max(1, size - overlap)
-    last = F.greatest(F.lit(0), F.ceil((F.length("t") - size) / step)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: T.strip(F.substring(F.col("t"), i * step + 1, F.lit(size))))
-    return rows.select("doc_id", F.posexplode(F.filter(cut, lambda x: F.length(x) >= least)).alias("ord", "text"))
+
+    def cut(text: str, _) -> list[str]:
+        t = " ".join(T.joined(text).split())
+        if not t:
+            return []
+        last = max(0, -((size - len(t)) // step))
+        return [x for i in range(last + 1) if len(x := t[i * step : i * step + size].strip()) >= least]
+
+    return _exploded(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), cut)
 
 
 def sized_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target: int = 1100, hard: int = 1600, least: int = 40) -> DataFrame:
     """(doc_id, ord, text): larger chunks that end at numbered headings only, each with "[source | heading] " before it."""
-    joined = F.regexp_replace(F.replace(F.coalesce(docs[text_col], F.lit("")), F.lit("­"), F.lit("")), rf"-[{T.SPACE}]*\n[{T.SPACE}]*", "")
-    lines = F.filter(F.transform(F.split(joined, "\n", -1), T.strip), lambda x: (x != "") & ~(x.rlike(T.CONTENTS_LINE) | x.rlike(T.HEADER_LINE) | x.rlike(T.NUMBER_LINE)))
-    heading = r"(?s)^(\p{Nd}+(?:\.\p{Nd}+){0,3})[" + T.SPACE + r"]+([A-ZÄÖÜ].{2,80})$"
 
-    def kind(x):
-        full = F.concat_ws(" ", F.regexp_extract(x, heading, 1), F.regexp_extract(x, heading, 2))
-        return F.struct(F.when(x.rlike(heading), "head").otherwise("line").alias("kind"), x.alias("line"), F.when(x.rlike(heading), full).otherwise("").alias("head"))
+    def kind(x: str):
+        m = SIZED.match(x) if x[:1].isdecimal() else None
+        return ("head", x, f"{m[1]} {m[2]}") if m else ("line", x, "")
+
+    def cut(text: str, source: str) -> list[str]:
+        lines = [x for line in T.joined(text).split("\n") if (x := line.strip()) and not T.is_plain_furniture(x)]
+        return _fold(map(kind, lines), target, hard, least, lambda head: f"[{source} | {head}] " if head else f"[{source}] ")
 
-    shown = lambda head: F.concat(F.lit("["), F.concat_ws(" | ", F.col("source"), F.when(head != "", head)), F.lit("] "))
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[source_col], F.lit("")).alias("source"), F.transform(lines, kind).alias("kinds"))
-    return rows.select("doc_id", F.posexplode(_packed(F.col("kinds"), target, hard, least, shown)).alias("ord", "text"))
+    return _exploded(docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.coalesce(docs[source_col], F.lit("")).alias("prefix")), cut)
 
 
 def screened(chunk_rows: DataFrame) -> DataFrame:
