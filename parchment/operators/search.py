@@ -2,7 +2,8 @@
 
 Chunks are (id, source, text, vec, tags); those without a vector, or with one of another size than the first's, are
 invisible to both rankings. Ranks of the cosine are global and taken before the filter, those of BM25 are taken among the
-chunks that pass it, and statistics are those of all chunks.
+chunks that pass it, and statistics are those of all chunks. Where the vectors are a table of their own, chunks have its key
+instead (vec_id in place of vec) and meet it only after their texts are counted, so no text is shuffled.
 
 No ranking is ever sorted as a whole: with k results, only chunks among the first 60 + 2(k - 1) + 1 of either ranking can
 be in the result (BM25 alone gives the k-th a score of 1 / (60 + k - 1)). These candidates, a number that depends on k
@@ -199,12 +200,12 @@ def _before(keys, ids, of_keys, of_ids):
     return np.bincount(place, minlength=len(of_keys) + 1)
 
 
-def _counted(chunks: DataFrame, block: _Block, index: ix.Index | None):
+def _counted(chunks: DataFrame, block: _Block, index: ix.Index | None, vectors: DataFrame | None = None):
     """(rows, scorer): the visible chunks with what they have of the block's terms and whether they pass its filters, stored once
     and without texts, and what scores them."""
     asked = ix.Asked.of([*zip(block.ids, block.terms)])
-    known = chunks.where(F.col("vec").isNotNull())
-    keep = ["vec"]
+    known = chunks.where(F.col("vec" if vectors is None else "vec_id").isNotNull())
+    keep = ["vec" if vectors is None else "vec_id"]
     if block.tests is not None:
         known = known.withColumns({"ok": F.array(*[F.coalesce(ok, F.lit(False)) for ok, _ in block.tests]), "factor": F.array(*[x.cast("double") for _, x in block.tests])})
         keep += ["ok", "factor"]
@@ -216,6 +217,8 @@ def _counted(chunks: DataFrame, block: _Block, index: ix.Index | None):
         found = found.select("id", "dl", F.col("s.at").alias("at"), F.col("s.tf").alias("tf"))
         none = F.array().cast("array<int>")
         rows = known.select("id", *keep).join(found, "id", "left").select("id", *keep, F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("at", none).alias("at"), F.coalesce("tf", none).alias("tf"))
+    if vectors is not None:
+        rows = rows.join(vectors.where(F.col("vec").isNotNull()), "vec_id").drop("vec_id")
     rows = ix.stored(rows, "seen")
     size = rows.agg(F.min_by(F.size("vec"), "id")).first()[0]
     rows = rows.where(F.size("vec") == F.lit(size))
@@ -322,7 +325,7 @@ def _ranks(seen: DataFrame, block: _Block, scorer, thresholds: dict) -> DataFram
     return seen.select(*columns).mapInArrow(run, "kind int, q int, place long, n long")
 
 
-def _best(chunks: DataFrame, block: _Block, k: int, constant: int, most_boost: float, index: ix.Index | None) -> list[tuple[int, int, float, int]]:
+def _best(chunks: DataFrame, block: _Block, k: int, constant: int, most_boost: float, index: ix.Index | None, vectors: DataFrame | None = None) -> list[tuple[int, int, float, int]]:
     """The k best (qid, id, score, rank) of each question of a block. Chunks are cut into terms and stored once, then read for
     the statistics, the candidates and their ranks."""
     import math
@@ -331,7 +334,7 @@ def _best(chunks: DataFrame, block: _Block, k: int, constant: int, most_boost: f
 
     kth = constant + k - 1
     most = math.ceil(2 * most_boost * kth) - constant + 1  # a chunk at this rank in both lists is below the k-th of BM25 alone
-    seen, scorer = _counted(chunks, block, index)
+    seen, scorer = _counted(chunks, block, index, vectors)
     found = _candidates(seen, block, scorer, most).toPandas().drop_duplicates(["q", "id"])  # for each question a number that depends on k alone
     thresholds, of_question = {}, {}
     for q, rows_of in found.groupby("q"):
@@ -376,17 +379,18 @@ def _best(chunks: DataFrame, block: _Block, k: int, constant: int, most_boost: f
 RESULT = "qid long, id long, score double, rank int"
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, index: ix.Index | None = None, k: int = C.TOP_K, constant: int = C.RRF_K) -> DataFrame:
+def hybrid(chunks: DataFrame, questions: DataFrame, index: ix.Index | None = None, k: int = C.TOP_K, constant: int = C.RRF_K, vectors: DataFrame | None = None) -> DataFrame:
     """The k best (qid, id, score, rank) for each plain question (qid, question, vec), without query language; for evaluation.
-    Questions go in blocks of bounded size; what a block brings to the driver depends on k and its questions."""
+    vectors: (vec_id, vec) of chunks that have a vec_id. Questions go in blocks of bounded size; what a block brings to the driver depends on k and its questions."""
     out = []
     for block in _blocks(questions.where("vec is not null")):
-        out += _best(chunks, block, k, constant, 1.0, index)
+        out += _best(chunks, block, k, constant, 1.0, index, vectors)
     return chunks.sparkSession.createDataFrame(out, RESULT)
 
 
-def search(chunks: DataFrame, queries: list[tuple[int, str, list[float] | None]], k: int = C.TOP_K, index: ix.Index | None = None, tag_boost: float = 1.0, constant: int = C.RRF_K) -> DataFrame:
-    """The k best (qid, id, score, rank) of each (qid, text, vector) in the query language. A vector counts only beside free text."""
+def search(chunks: DataFrame, queries: list[tuple[int, str, list[float] | None]], k: int = C.TOP_K, index: ix.Index | None = None, tag_boost: float = 1.0, constant: int = C.RRF_K, vectors: DataFrame | None = None) -> DataFrame:
+    """The k best (qid, id, score, rank) of each (qid, text, vector) in the query language. A vector counts only beside free text.
+    vectors: (vec_id, vec) of chunks that have a vec_id."""
     spark: SparkSession = chunks.sparkSession
     block = _Block([], [], [], [])
     asked = []
@@ -406,7 +410,7 @@ def search(chunks: DataFrame, queries: list[tuple[int, str, list[float] | None]]
         return spark.createDataFrame([], RESULT)
     questions = spark.createDataFrame([(i, plain) for i, (_, plain) in enumerate(asked)], "i int, question string")
     block.terms = [Counter(toks) for _, toks in sorted(questions.select("i", T.tokens(F.col("question"))).collect())]
-    return spark.createDataFrame(_best(chunks, block, k, constant, max(1.0, tag_boost), index), RESULT)
+    return spark.createDataFrame(_best(chunks, block, k, constant, max(1.0, tag_boost), index, vectors), RESULT)
 
 
 def _query_tags(text: str) -> list[str]:
